@@ -102,6 +102,13 @@ def _sets(words: int):
     return run
 
 
+def _exploded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for node, data in zip(batch["node"], batch["shingles"], strict=True):
+            shingles = np.frombuffer(data, np.int64)
+            yield pd.DataFrame({"node": np.full(len(shingles), node), "shingle": shingles})
+
+
 def _common(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         both = [len(np.intersect1d(np.frombuffer(x, U), np.frombuffer(y, U), assume_unique=True)) for x, y in zip(batch["x"], batch["y"], strict=True)]
@@ -132,19 +139,21 @@ class _Groups:
 
     def __init__(self, docs: DataFrame, classes: DataFrame, words: int, percent: int, m: int):
         self.docs, self.classes, self.words, self.percent, self.m = docs, classes, words, percent, m
+        #: the class with most copies leads first: edited copies are nearer to it than to each other
+        self.first_priority = F.struct((-F.col("n_docs")).alias("copies"), F.xxhash64("node").alias("rest"))
         self.buckets = materialise(self._buckets())
         self.sets = materialise(self._full_sets())
         self.tested: DataFrame | None = None
         self.labels: DataFrame | None = None
 
     def _buckets(self) -> DataFrame:
-        """key, node, n_shingles for all keys that may have more than one class."""
-        halves = self.classes.select("node", "n_shingles", F.posexplode("halves").alias("at", "half"))
+        """key, node, n_shingles, n_docs for all keys that may have more than one class."""
+        halves = self.classes.select("node", "n_shingles", "n_docs", F.posexplode("halves").alias("at", "half"))
         shared = halves.groupBy("at", "half").count().where("count > 1").drop("count")
         side = lambda low: F.collect_list(F.when((F.col("at") < self.m) == low, F.struct("at", "half")))
-        kept = halves.join(shared, ["at", "half"]).groupBy("node", "n_shingles").agg(side(F.lit(True)).alias("left"), side(F.lit(False)).alias("right"))
+        kept = halves.join(shared, ["at", "half"]).groupBy("node", "n_shingles", "n_docs").agg(side(F.lit(True)).alias("left"), side(F.lit(False)).alias("right"))
         pairs = kept.withColumn("l", F.explode("left")).withColumn("r", F.explode("right"))
-        keys = pairs.select(F.xxhash64("l.at", "l.half", "r.at", "r.half").alias("key"), "node", "n_shingles")
+        keys = pairs.select(F.xxhash64("l.at", "l.half", "r.at", "r.half").alias("key"), "node", "n_shingles", "n_docs")
         return keys.join(keys.groupBy("key").count().where("count > 1").drop("count"), "key")
 
     def _full_sets(self) -> DataFrame:
@@ -173,22 +182,38 @@ class _Groups:
 
     def star(self, turn: int) -> DataFrame:
         """Candidates: each open bucket's classes with the bucket's leader of this turn."""
-        rows, lead = self._open(F.xxhash64(F.lit(turn), "node"))
+        rows, lead = self._open(F.xxhash64(F.lit(turn), "node") if turn else self.first_priority)
         found = rows.join(lead, "key").where((F.col("component") != F.col("lead.component")) & _similar_sizes(F.col("n_shingles"), F.col("lead.n_shingles"), self.percent))
         return found.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
 
+    def _own_shingles(self, nodes: DataFrame) -> DataFrame:
+        """node, own: how many of its shingles no other of these nodes has."""
+        each = self.sets.join(nodes, "node").mapInPandas(_exploded, "node long, shingle long")
+        single = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
+        return single.groupBy("node").agg(F.count("*").alias("own"))
+
     def cross(self) -> DataFrame:
-        """Candidates: all pairs of an open bucket from different components that the first leader's distances allow."""
-        rows, open_now = self._open(F.xxhash64(F.lit(0), "node"))
-        lead = self.buckets.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(0), "node").alias("p"), "node")).alias("lead")).select("key", F.col("lead.node").alias("lead"))
-        rows = rows.join(open_now.select("key"), "key").join(lead, "key")
+        """Candidates: the pairs of an open bucket from different components that no bound rules out.
+
+        Shingles that none of the others has can't be in an intersection, and distances to the
+        bucket's first leader, where known, differ by the pair's distance at most. One of a pair is
+        always outside the leader's component, so only such rows meet the bucket's other rows.
+        """
+        rows, lead = self._open(self.first_priority)
+        rows = materialise(rows.join(lead.select("key", F.col("lead.node").alias("lead"), F.col("lead.component").alias("lead_component")), "key"))
         known = self.tested.select("a", "b", (F.lit(1.0) - F.col("both") / F.col("either")).alias("far"))
         at_lead = (F.least("node", "lead") == F.col("a")) & (F.greatest("node", "lead") == F.col("b"))
-        rows = rows.join(known, at_lead, "left").select("key", "node", "n_shingles", "component", F.when(F.col("node") == F.col("lead"), 0.0).otherwise(F.col("far")).alias("far"))
-        x, y = rows.alias("x"), rows.alias("y")
+        shared = F.col("n_shingles") - F.coalesce("own", F.lit(0))
+        far = F.when(F.col("node") == F.col("lead"), 0.0).otherwise(F.col("far"))
+        rows = rows.join(self._own_shingles(rows.select("node").distinct()), "node", "left").join(known, at_lead, "left")
+        rows = rows.select("key", "node", "n_shingles", "component", "lead_component", shared.alias("shared"), far.alias("far"))
+        rows = materialise(rows.where(F.col("shared") * 100 >= F.col("n_shingles") * self.percent))
+        x, y = rows.where("component <> lead_component").alias("x"), rows.alias("y")
+        most = F.least("x.shared", "y.shared")
+        bound = most * 100 >= (F.col("x.n_shingles") + F.col("y.n_shingles") - most) * self.percent
         near = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 1 - self.percent / 100 + 1e-9, F.lit(True))
-        apart = F.col("x.component") < F.col("y.component")
-        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & apart & near & _similar_sizes(F.col("x.n_shingles"), F.col("y.n_shingles"), self.percent))
+        once = (F.col("y.component") == F.col("y.lead_component")) | (F.col("x.node") < F.col("y.node"))
+        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & bound & near)
         return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
 
     def confirm(self, pairs: DataFrame) -> bool:
@@ -230,7 +255,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, halves:
     sketches = materialise(texts.mapInPandas(_sketch(words, halves), "doc_id long, n_shingles long, c1 long, c2 long, halves array<long>"))
     named = sketches.where(F.col("doc_id").isNotNull() & F.col("c1").isNotNull())
     # the smallest doc_id stands for its class; equal sets have equal half keys
-    classes = named.groupBy("c1", "c2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("halves").alias("halves"))
+    classes = named.groupBy("c1", "c2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("halves").alias("halves"), F.count("*").alias("n_docs"))
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()))
     labels = _Groups(texts, classes, words, percent, halves).run()
     of_class = classes.select("c1", "c2", "node", F.col("doc_id").alias("least"))
