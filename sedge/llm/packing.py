@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from array import array
 from collections.abc import Iterator
+from string import punctuation as PUNCTUATION
 
 import numpy as np
 import pandas as pd
@@ -33,17 +35,38 @@ class WordIds:
     """Ids of whole texts by a tokenizer that drops white space, one word at a time.
 
     Its pre-tokens never hold white space, so a text's ids are its words' ids in turn; each
-    distinct word is tokenised once as long as a bounded memo holds it.
+    distinct word is tokenised once as long as a bounded memo holds it. A word of Latin-1 letters,
+    perhaps with punctuation at its end, is two pre-tokens at most, in lower case, which the
+    tokenizer's model takes one by one; all other words pass through the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = RecentCache(self._ids, 200_000)
+        self.words = RecentCache(self._word, 400_000)
+        self.pieces = RecentCache(self._piece, 300_000)
+        spelled = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelling = {c: spelled.pre_tokenize_str(chr(c))[0][0] for c in range(128, 256)}
 
     def _ids(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def _piece(self, spelled: str) -> bytes:
+        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        core = word.rstrip(PUNCTUATION)
+        if not core.isalpha():
+            return self._ids(word)
+        if core.isascii():
+            ids = self.pieces.get(core.lower())
+        elif max(core) <= "\xff":
+            ids = self.pieces.get(core.lower().translate(self.spelling))
+        else:
+            return self._ids(word)
+        return ids + self.pieces.get(word[len(core) :]) if len(core) < len(word) else ids
 
     def ids(self, text: str) -> bytes:
         if any(c in text for c in CONTROLS):
