@@ -16,6 +16,7 @@ Components are found by label propagation with shortcuts, on tables in the share
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,9 @@ HALVES, STARS = 10, 2
 NAMES = 2_000_000
 #: Half keys that candidates must share: at s = 0.8 a pair has 12.8 of 20, and under 3 with a probability under 1e-6.
 LEAST = 3
+#: Pairs in a bucket from which it is compared in blocks of at most about BLOCK sets.
+WIDE, BLOCK = 1024, 200
+TESTED = "a long, b long, both long, either long"
 
 U = np.uint64
 MIX1, MIX2 = U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB)
@@ -115,6 +119,37 @@ def _common(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": batch["a"], "b": batch["b"], "both": both, "either": (batch["x"].str.len() + batch["y"].str.len()) // 8 - both})
 
 
+def _block_links(percent: int, columns: int = 8192):
+    """Pairs of a block of sets and another that link: intersections of all by products of indicator matrices."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for xs, ys in zip(batch["xs"], batch["ys"], strict=True):
+                sides = []
+                for side in (xs, ys):
+                    sets = [np.frombuffer(s["shingles"], U) for s in side]
+                    sizes = np.array([len(s) for s in sets])
+                    sides.append((np.array([s["node"] for s in side], np.int64), sizes, np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)))
+                (xn, xsize, xrow, xall), (yn, ysize, yrow, yall) = sides
+                words = np.intersect1d(xall, yall)  # all others are in no intersection
+                both = np.zeros((len(xn), len(yn)))
+                for at in range(0, len(words), columns):
+                    part = words[at : at + columns]
+                    marks = []
+                    for n, row, shingles in ((len(xn), xrow, xall), (len(yn), yrow, yall)):
+                        where = np.minimum(np.searchsorted(part, shingles), len(part) - 1)
+                        hit = part[where] == shingles
+                        mark = np.zeros((n, len(part)), np.float32)
+                        mark[row[hit], where[hit]] = 1
+                        marks.append(mark)
+                    both += marks[0] @ marks[1].T
+                either = xsize[:, None] + ysize[None, :] - both
+                i, j = np.nonzero((both * 100 >= either * percent) & (xn[:, None] != yn[None, :]))
+                yield pd.DataFrame({"a": np.minimum(xn[i], yn[j]), "b": np.maximum(xn[i], yn[j]), "both": both[i, j].astype(np.int64), "either": either[i, j].astype(np.int64)})
+
+    return run
+
+
 def connected(links: DataFrame) -> DataFrame:
     """node, component (its smallest node) for all nodes of links (a, b)."""
     both = materialise(links.select("a", "b").union(links.select("b", "a")).distinct())
@@ -192,8 +227,8 @@ class _Groups:
         single = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("node").alias("node")).where("n = 1")
         return single.groupBy("node").agg(F.count("*").alias("own"))
 
-    def cross(self) -> DataFrame:
-        """Candidates: the pairs of an open bucket from different components that no bound rules out.
+    def cross(self) -> tuple[DataFrame, DataFrame]:
+        """Candidates: the pairs of an open bucket from different components that no bound rules out; rows of wide buckets.
 
         Shingles that none of the others has can't be in an intersection, and distances to the
         bucket's first leader, where known, differ by the pair's distance at most. One of a pair is
@@ -208,16 +243,38 @@ class _Groups:
         rows = rows.join(self._own_shingles(rows.select("node").distinct()), "node", "left").join(known, at_lead, "left")
         rows = rows.select("key", "node", "n_shingles", "component", "lead_component", shared.alias("shared"), far.alias("far"))
         rows = materialise(rows.where(F.col("shared") * 100 >= F.col("n_shingles") * self.percent))
-        x, y = rows.where("component <> lead_component").alias("x"), rows.alias("y")
+        outside = F.col("component") != F.col("lead_component")
+        work = rows.groupBy("key").agg((F.count("*") * F.sum(outside.cast("long"))).alias("work"))
+        wide = rows.join(work.where(F.col("work") > WIDE).select("key"), "key")
+        rows = rows.join(work.where(F.col("work").between(1, WIDE)).select("key"), "key")
+        x, y = rows.where(outside).alias("x"), rows.alias("y")
         most = F.least("x.shared", "y.shared")
         bound = most * 100 >= (F.col("x.n_shingles") + F.col("y.n_shingles") - most) * self.percent
         near = F.coalesce(F.abs(F.col("x.far") - F.col("y.far")) <= 1 - self.percent / 100 + 1e-9, F.lit(True))
         once = (F.col("y.component") == F.col("y.lead_component")) | (F.col("x.node") < F.col("y.node"))
         pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") != F.col("y.component")) & once & bound & near)
-        return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+        return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), wide
+
+    def block_links(self, rows: DataFrame) -> DataFrame:
+        """Links of wide buckets' rows, found in blocks of full sets: no pair but a link becomes a row.
+
+        The buckets of one leader's component are taken together, so a pair that shares many of them
+        is compared once. Sizes fall into bins so wide that linked sets are in the same or the next.
+        """
+        bin_ = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / self.percent)).cast("int")
+        rows = materialise(rows.select(F.col("lead_component").alias("group"), bin_.alias("bin"), "node", (F.col("component") != F.col("lead_component")).alias("outside")).distinct())
+
+        def blocks(part: DataFrame, name: str) -> DataFrame:
+            slots = part.groupBy("group", "bin").agg(F.ceil(F.count("*") / BLOCK).alias("slots"))
+            part = part.join(slots, ["group", "bin"]).withColumn("slot", F.pmod(F.xxhash64("node"), F.col("slots")))
+            return part.join(self.sets, "node").groupBy("group", "bin", "slot").agg(F.collect_list(F.struct("node", "shingles")).alias(name)).drop("slot")
+
+        x = blocks(rows.where("outside"), "xs").withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
+        pairs = x.join(blocks(rows.drop("outside"), "ys"), ["group", "bin"]).select("xs", "ys")
+        return pairs.mapInPandas(_block_links(self.percent), TESTED).distinct()
 
-    def confirm(self, pairs: DataFrame) -> bool:
-        """Test the candidates that are new on their full sets; join the components of those that link."""
+    def confirm(self, pairs: DataFrame, more: DataFrame | None = None) -> None:
+        """Test the candidates that are new on their full sets; join the components of those that link, and of more links."""
         if self.tested is not None:
             pairs = pairs.join(self.tested.select("a", "b"), ["a", "b"], "left_anti")
         halves = self.classes.select("node", "halves")
@@ -225,18 +282,18 @@ class _Groups:
         pairs = pairs.where(F.size(F.filter(F.zip_with("ha", "hb", lambda x, y: x == y), lambda same: same)) >= LEAST).select("a", "b")
         sets = self.sets
         joined = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a")
-        found = materialise(joined.select("a", "b", "x", "y").mapInPandas(_common, "a long, b long, both long, either long"))
+        found = joined.select("a", "b", "x", "y").mapInPandas(_common, TESTED)
+        found = materialise(found if more is None else found.unionByName(more))
         self.tested = found if self.tested is None else self.tested.unionByName(found)
         linked = self.tested.where(F.col("both") * 100 >= F.col("either") * self.percent)
-        if not found.where(F.col("both") * 100 >= F.col("either") * self.percent).limit(1).count():
-            return False
-        self.labels = connected(linked)
-        return True
+        if found.where(F.col("both") * 100 >= F.col("either") * self.percent).limit(1).count():
+            self.labels = connected(linked)
 
     def run(self) -> DataFrame | None:
         for turn in range(STARS):
             self.confirm(self.star(turn))
-        self.confirm(self.cross())
+        pairs, wide = self.cross()
+        self.confirm(pairs, self.block_links(wide))
         return self.labels
 
 
