@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import RecentCache, need, sha256_hex
-from .pretokens import SPLIT, is_odd, pieces
+from .pretokens import ODD, SPLIT, pieces, spaced
 
 CHUNK, OVERLAP = 32_768, 1_024
 RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
@@ -46,18 +46,17 @@ class Codec:
         return np.asarray(self.single.encode_ordinary(piece), "<u4").tobytes()
 
     def _cut(self, cut: str) -> bytes:
-        return b"" if is_odd(cut) else b"".join(map(self.piece.get, pieces(" " + cut)))
+        return b"".join(map(self.piece.get, spaced(cut)))
 
     def encode_pieces(self, found: list[str]) -> bytes:
         return b"".join(map(self.piece.get, found))
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of one chunk that is a whole text."""
-        first, *rest = text.split(" ")
-        ids = list(map(self.cut.get, rest))
-        if (first and first[-1].isspace()) or b"" in ids:
+        if ODD.search(text):
             return self.encode_pieces(pieces(text))
-        return self.encode_pieces(pieces(first)) + b"".join(ids)
+        first, *rest = text.split(" ")
+        return self.encode_pieces(pieces(first)) + b"".join(map(self.cut.get, rest))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -129,8 +129,8 @@ def _block_links(percent: int, columns: int = 8192):
                 for side in (xs, ys):
                     sets = [np.frombuffer(s["shingles"], U) for s in side]
                     sizes = np.array([len(s) for s in sets])
-                    sides.append((np.array([s["node"] for s in side], np.int64), sizes, np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)))
-                (xn, xsize, xrow, xall), (yn, ysize, yrow, yall) = sides
+                    sides.append((np.array([s["node"] for s in side], np.int64), np.array([s["component"] for s in side], np.int64), sizes, np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)))
+                (xn, xc, xsize, xrow, xall), (yn, yc, ysize, yrow, yall) = sides
                 words = np.intersect1d(xall, yall)  # all others are in no intersection
                 both = np.zeros((len(xn), len(yn)))
                 for at in range(0, len(words), columns):
@@ -144,7 +144,7 @@ def _block_links(percent: int, columns: int = 8192):
                         marks.append(mark)
                     both += marks[0] @ marks[1].T
                 either = xsize[:, None] + ysize[None, :] - both
-                i, j = np.nonzero((both * 100 >= either * percent) & (xn[:, None] != yn[None, :]))
+                i, j = np.nonzero((both * 100 >= either * percent) & (xc[:, None] != yc[None, :]))
                 yield pd.DataFrame({"a": np.minimum(xn[i], yn[j]), "b": np.maximum(xn[i], yn[j]), "both": both[i, j].astype(np.int64), "either": either[i, j].astype(np.int64)})
 
     return run
@@ -262,12 +262,12 @@ class _Groups:
         is compared once. Sizes fall into bins so wide that linked sets are in the same or the next.
         """
         bin_ = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / self.percent)).cast("int")
-        rows = materialise(rows.select(F.col("lead_component").alias("group"), bin_.alias("bin"), "node", (F.col("component") != F.col("lead_component")).alias("outside")).distinct())
+        rows = materialise(rows.select(F.col("lead_component").alias("group"), bin_.alias("bin"), "node", "component", (F.col("component") != F.col("lead_component")).alias("outside")).distinct())
 
         def blocks(part: DataFrame, name: str) -> DataFrame:
             slots = part.groupBy("group", "bin").agg(F.ceil(F.count("*") / BLOCK).alias("slots"))
             part = part.join(slots, ["group", "bin"]).withColumn("slot", F.pmod(F.xxhash64("node"), F.col("slots")))
-            return part.join(self.sets, "node").groupBy("group", "bin", "slot").agg(F.collect_list(F.struct("node", "shingles")).alias(name)).drop("slot")
+            return part.join(self.sets, "node").groupBy("group", "bin", "slot").agg(F.collect_list(F.struct("node", "component", "shingles")).alias(name)).drop("slot")
 
         x = blocks(rows.where("outside"), "xs").withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
         pairs = x.join(blocks(rows.drop("outside"), "ys"), ["group", "bin"]).select("xs", "ys")
@@ -285,8 +285,10 @@ class _Groups:
         found = joined.select("a", "b", "x", "y").mapInPandas(_common, TESTED)
         found = materialise(found if more is None else found.unionByName(more))
         self.tested = found if self.tested is None else self.tested.unionByName(found)
-        linked = self.tested.where(F.col("both") * 100 >= F.col("either") * self.percent)
-        if found.where(F.col("both") * 100 >= F.col("either") * self.percent).limit(1).count():
+        linked = found.where(F.col("both") * 100 >= F.col("either") * self.percent).select("a", "b")
+        if linked.limit(1).count():
+            if self.labels is not None:  # what is connected so far, as links to each component's first node
+                linked = linked.union(self.labels.where("component <> node").select(F.col("component").alias("a"), F.col("node").alias("b")))
             self.labels = connected(linked)
 
     def run(self) -> DataFrame | None:

@@ -8,6 +8,9 @@ in which white space meets a space is matched as a whole.
 
 from __future__ import annotations
 
+import re
+from string import punctuation
+
 import public_tokenizers
 import regex
 
@@ -19,11 +22,13 @@ def pieces(text: str) -> list[str]:
     return SPLIT.findall(text)
 
 
-def is_odd(cut: str) -> bool:
-    """True if the spaces around this cut aren't sure to begin pre-tokens."""
-    return not cut or cut[0].isspace() or cut[-1].isspace()
+#: White space that meets a space: then spaces aren't sure to begin pre-tokens.
+ODD = re.compile(r" \s|[^\S ] ")
 
 
-def cuts(text: str) -> list[str] | None:
-    """The text cut at its spaces, each cut but the first without its leading space."""
-    return text.split(" ")
+def spaced(cut: str) -> tuple[str, ...]:
+    """The pre-tokens of a cut and the space before it. Letters and then punctuation are one each."""
+    core = cut.rstrip(punctuation)
+    if core.isalpha():
+        return (" " + core,) if len(core) == len(cut) else (" " + core, cut[len(core) :])
+    return tuple(pieces(" " + cut))

@@ -24,10 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import RecentCache, materialise, need
-from .pretokens import is_odd, pieces
+from .pretokens import ODD, pieces, spaced
 
-HEAVY, HEAVY_CHARS = 1 << 20, 48
-FLUSH = 400_000
+HEAVY, HEAVY_CHARS = 1 << 18, 48
+FLUSH = 300_000
 
 
 def _segments(text: str, special: list[str]) -> tuple[list[str], int]:
@@ -51,10 +51,6 @@ def _special(tokenizer) -> list[str]:
     return sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
 
 
-def _spaced(cut: str):
-    return None if is_odd(cut) else tuple(pieces(" " + cut))
-
-
 def _corpus_pretokens(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         special = _special(_tokenizer(path))
@@ -62,21 +58,20 @@ def _corpus_pretokens(path: str):
 
         def flush():
             for cut, n in loose.items():
-                for p in pieces(" " + cut):
+                for p in spaced(cut):
                     whole[p] += n
             out = pd.DataFrame({"pretoken": list(whole.keys()), "freq": list(whole.values())})
             loose.clear()
             whole.clear()
             return out
 
-        odd = RecentCache(is_odd)
         for batch in batches:
             for text in batch["text"]:
                 for part in _segments(text, special)[0]:
-                    first, *rest = part.split(" ")
-                    if (first and first[-1].isspace()) or any(map(odd.get, set(rest))):
+                    if ODD.search(part):
                         whole.update(pieces(part))
                     else:
+                        first, *rest = part.split(" ")
                         whole.update(pieces(first))
                         loose.update(rest)
                 if len(loose) + len(whole) > FLUSH:
@@ -89,9 +84,16 @@ def _corpus_pretokens(path: str):
 
 def _count_pieces(path: str):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer = _tokenizer(path)
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        model, spelled = _tokenizer(path).model, ByteLevel(add_prefix_space=False, use_regex=False)
+        # each byte's character in the vocabulary; UTF-8 has all bytes from these code points
+        spelling = {}
+        for c in [*range(128), *range(128, 0x800), *(0x800 * k for k in range(1, 27)), *(0x10000 * k for k in range(1, 17))]:
+            for byte, char in zip(chr(c).encode(), spelled.pre_tokenize_str(chr(c))[0][0], strict=True):
+                spelling[byte] = char
         for batch in batches:
-            batch["n_pieces"] = [len(e) for e in tokenizer.encode_batch_fast(batch["pretoken"].tolist(), add_special_tokens=False)]
+            batch["n_pieces"] = [len(model.tokenize(p.encode().decode("latin-1").translate(spelling))) for p in batch["pretoken"]]
             yield batch
 
     return run
@@ -102,27 +104,24 @@ def _document_counts(path: str, heavy):
         special, known = _special(_tokenizer(path)), heavy.value
 
         def value(cut: str):
-            found = _spaced(cut)
-            if found is None:
-                return ()
+            found = spaced(cut)
             rest = tuple(p for p in found if p not in known)
             return sum(known.get(p, 0) for p in found), rest
 
-        cache = RecentCache(value)
+        cache = RecentCache(value, 150_000)
         for batch in batches:
-            sums, rests = [], []
+            sums, rests, freqs_of = [], [], []
             for text in batch["text"]:
                 parts, total = _segments(text, special)
                 rest = Counter()
                 for part in parts:
-                    first, *others = part.split(" ")
-                    freqs = Counter(others)
-                    values = [cache.get(c) for c in freqs]
-                    if (first and first[-1].isspace()) or () in values:
+                    if ODD.search(part):
                         own = Counter(pieces(part))
                     else:
+                        first, *others = part.split(" ")
                         own = Counter(pieces(first))
-                        for n, (k, more) in zip(freqs.values(), values, strict=True):
+                        for cut, n in Counter(others).items():
+                            k, more = cache.get(cut)
                             total += n * k
                             for p in more:
                                 rest[p] += n
@@ -132,8 +131,9 @@ def _document_counts(path: str, heavy):
                         else:
                             rest[p] += n
                 sums.append(total)
-                rests.append([{"pretoken": p, "freq": n} for p, n in rest.items()])
-            yield pd.DataFrame({"rid": batch["rid"], "doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], "known": sums, "rest": rests})
+                rests.append(list(rest))
+                freqs_of.append(list(rest.values()))
+            yield pd.DataFrame({"rid": batch["rid"], "doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], "known": sums, "pretokens": rests, "freqs": freqs_of})
 
     return run
 
@@ -177,11 +177,12 @@ def token_counts(docs: DataFrame, tokenizer_path: str | None = None, limit: int
     passed = materialise(
         texts.withColumn("rid", F.monotonically_increasing_id())
         .withColumn("n_bytes", F.octet_length("text").cast("long"))
-        .mapInPandas(_document_counts(path, shared), "rid long, doc_id long, n_bytes long, known long, rest array<struct<pretoken:string,freq:long>>")
+        .mapInPandas(_document_counts(path, shared), "rid long, doc_id long, n_bytes long, known long, pretokens array<string>, freqs array<long>")
     )
-    rest = passed.select("rid", F.inline("rest")).join(
+    shared.destroy()
+    rest = passed.select("rid", F.inline(F.arrays_zip(F.col("pretokens").alias("pretoken"), F.col("freqs").alias("freq")))).toDF("rid", "pretoken", "freq").join(
         counted.where((F.floor(F.log2("freq") * 16) < least) | (F.length("pretoken") > HEAVY_CHARS)).select("pretoken", "n_pieces"), "pretoken"
     )
     sums = rest.groupBy("rid").agg(F.sum(F.col("freq") * F.col("n_pieces")).alias("more"))
     n_tokens = F.col("known") + F.coalesce("more", F.lit(0))
-    return passed.drop("rest").join(sums, "rid", "left").select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))
+    return passed.drop("pretokens", "freqs").join(sums, "rid", "left").select("doc_id", "n_bytes", n_tokens.alias("n_tokens"), (n_tokens > limit).alias("over_limit"))
