@@ -334,12 +334,10 @@ def _agg(name: str, e: Expr | None, na_rm: bool) -> Expr:
             return (F.size(F.collect_set(c).over(ctx.partition)) + has_null.over(ctx.partition)).cast("bigint"), D.Int64
         made = {"mean": F.avg, "median": F.median, "sum": F.sum, "min": F.min, "max": F.max, "std": F.stddev_samp, "var": F.var_samp}[name](x)
         kind = {"min": t, "max": t, "sum": D.Float64 if t == D.Float64 else D.Int64}.get(name, D.Float64)
-        if name in ("min", "max") or kind == D.Null:
-            pass
-        else:
-            made = made.cast(kind.spark)
         place = lambda a: a if ctx.mode == "summary" else a if not ctx.groups else a.over(ctx.partition)
         out = place(made)
+        if name not in ("min", "max") and kind != D.Null:
+            out = out.cast(kind.spark)
         if name == "sum":
             out = F.coalesce(out, F.lit(0).cast(kind.spark))
         if not na_rm:

@@ -1,0 +1,526 @@
+"""Frames: a Spark DataFrame with groups and a pending order.
+
+The order of rows is kept as hidden columns and applied only where it shows: on collecting, in heads
+and tails, in ordered windows and ordered sinks. Nothing runs before that.
+"""
+
+from __future__ import annotations
+
+import random
+import warnings
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .. import dtypes as D
+from ..errors import BackendError, ColumnNotFoundError, DuplicateColumnError, ExprTypeError, GroupError
+from ..functions.expr import Context, Expr, desc, min_rank, n, name_of, rank_key, wrap
+from .select import Across, plain_name, resolve
+
+HIDDEN = "__sedge_"
+RID = HIDDEN + "rid"
+
+
+class _Names:
+    """df.c.x: columns of this frame only."""
+
+    def __init__(self, frame: Frame):
+        self._frame = frame
+
+    def __getattr__(self, name: str) -> Expr:
+        if name.startswith("_"):
+            raise AttributeError(name)
+        return self[name]
+
+    def __getitem__(self, name: str) -> Expr:
+        from ..functions.expr import column
+
+        return column(plain_name(name, self._frame.schema))
+
+    def __dir__(self):
+        return list(self._frame.schema)
+
+
+class Frame:
+    """An immutable handle on a plan; verbs give new frames."""
+
+    def __init__(self, df: DataFrame, schema: dict[str, D.DType] | None = None, order: tuple = (), groups: tuple[str, ...] = (), attached: bool = True):
+        if schema is None:
+            df = D.normalised(df)
+            schema = {f.name: D.of_spark(f.dataType, f.name) for f in df.schema.fields}
+        self._df, self._schema, self._order, self._groups, self._attached = df, schema, order, groups, attached
+
+    # what a frame knows without running anything
+    @property
+    def schema(self) -> dict[str, D.DType]:
+        return dict(self._schema)
+
+    @property
+    def columns(self) -> list[str]:
+        return list(self._schema)
+
+    @property
+    def groups(self) -> tuple[str, ...]:
+        return self._groups
+
+    @property
+    def c(self) -> _Names:
+        return _Names(self)
+
+    def _new(self, df: DataFrame, schema=None, order=None, groups=None) -> Frame:
+        groups = self._groups if groups is None else groups
+        kind = GroupedFrame if groups else Frame
+        return kind(df, self._schema if schema is None else schema, self._order if order is None else order, groups, self._attached)
+
+    def _hidden(self) -> list[str]:
+        return [c for c in self._df.columns if c.startswith(HIDDEN)]
+
+    def _with_rid(self) -> Frame:
+        """A row id in the order of the rows, added when it is first needed."""
+        return self if RID in self._df.columns else self._new(self._df.withColumn(RID, F.monotonically_increasing_id()))
+
+    def _order_by(self, backwards: bool = False) -> list[Column]:
+        out = []
+        for name, down in self._order:
+            c = F.col(name)
+            out.append((c.asc_nulls_first() if down else c.desc_nulls_first()) if backwards else (c.desc_nulls_last() if down else c.asc_nulls_last()))
+        if RID in self._df.columns:
+            out.append(F.col(RID).desc() if backwards else F.col(RID).asc())
+        return out
+
+    def _resolve(self, value) -> Expr:
+        return wrap(value(self.c) if callable(value) and not isinstance(value, Expr) else value)
+
+    def _row_context(self) -> Context:
+        return Context(self._schema, "row", self._groups, tuple(self._order_by()))
+
+    @staticmethod
+    def _needs_order(exprs) -> bool:
+        return any(e.has("window") or "first()" in repr(e) or "last()" in repr(e) for e in exprs)
+
+    def _built(self, exprs: list[Expr]) -> tuple[Frame, list[tuple[Column, D.DType]]]:
+        """Row-wise columns of the expressions over this frame; aggregates of an ungrouped frame come as one joined row."""
+        frame = self._with_rid() if self._needs_order(exprs) else self
+        ctx = frame._row_context()
+        out = [e.build(ctx) for e in exprs]
+        if ctx.scalars:
+            one = frame._df.agg(*[c.alias(f"{HIDDEN}s{i}") for i, c in enumerate(ctx.scalars)])
+            frame = frame._new(frame._df.crossJoin(F.broadcast(one)))
+        return frame, out
+
+    def _public(self, df: DataFrame, schema: dict) -> DataFrame:
+        """df cut down to the columns of the schema and the hidden ones of the order."""
+        keep = [o for o, _ in self._order] + [RID]
+        return df.select(*[name_of(c) for c in schema], *[F.col(c) for c in df.columns if c in keep])
+
+    # verbs
+    def filter(self, *predicates) -> Frame:
+        exprs = [self._resolve(p) for p in predicates]
+        frame, built = self._built(exprs)
+        df = frame._df
+        for e, (c, t) in zip(exprs, built, strict=True):
+            if t not in (D.Bool, D.Null):
+                raise ExprTypeError(f"filter needs truth values, and {e} is {t}")
+        if any(e.has("window", "agg") for e in exprs):
+            marks = [f"{HIDDEN}p{i}" for i in range(len(built))]
+            df = df.select("*", *[c.cast("boolean").alias(m) for (c, _), m in zip(built, marks, strict=True)])
+            for m in marks:
+                df = df.filter(F.col(m))
+        else:
+            for c, _ in built:
+                df = df.filter(c.cast("boolean"))
+        return frame._new(frame._public(df, self._schema))
+
+    def mutate(self, *acrosses: Across, **named) -> Frame:
+        made: list[tuple[str, Expr]] = []
+        for a in acrosses:
+            made += a.expand(self._schema, self._groups).items()
+        made += [(k, self._resolve(v)) for k, v in named.items()]
+        out, batch = self, []
+        for name, e in made:
+            if name in self._groups:
+                raise GroupError(f"{name!r} is a group key and can't be overwritten; ungroup() first")
+            written = {k for k, _ in batch}
+            if written & (e.columns() | {name}):
+                out, batch = out._assign(batch), []
+            batch.append((name, e))
+        return out._assign(batch)
+
+    def _assign(self, batch: list[tuple[str, Expr]]) -> Frame:
+        if not batch:
+            return self
+        frame, built = self._built([e for _, e in batch])
+        schema = self.schema
+        columns = {}
+        for (name, _), (c, t) in zip(batch, built, strict=True):
+            schema[name] = t
+            columns[name] = c.cast(t.spark) if t not in (D.Null,) else c
+        return frame._new(frame._public(frame._df.withColumns(columns), schema), schema)
+
+    def select(self, *refs) -> Frame:
+        names = resolve(refs, self._schema)
+        names = [g for g in self._groups if g not in names] + names
+        schema = {k: self._schema[k] for k in names}
+        return self._new(self._public(self._df, schema), schema)
+
+    def rename(self, **named) -> Frame:
+        old = {plain_name(v, self._schema): k for k, v in named.items()}
+        names = [old.get(k, k) for k in self._schema]
+        for k in names:
+            if names.count(k) > 1:
+                raise DuplicateColumnError(f"two columns would be named {k!r}")
+        schema = dict(zip(names, self._schema.values(), strict=True))
+        df = self._df.select(*[name_of(k).alias(old.get(k, k)) for k in self._schema], *[F.col(h) for h in self._hidden()])
+        return self._new(df, schema, groups=tuple(old.get(g, g) for g in self._groups))
+
+    def relocate(self, *refs, before=None, after=None) -> Frame:
+        if before is not None and after is not None:
+            raise ExprTypeError("relocate takes before or after, not both")
+        moved = resolve(refs, self._schema)
+        rest = [k for k in self._schema if k not in moved]
+        anchor = before if before is not None else after
+        at = 0
+        if anchor is not None:
+            name = plain_name(anchor, self._schema)
+            at = rest.index(name) + (after is not None) if name in rest else 0
+        schema = {k: self._schema[k] for k in rest[:at] + moved + rest[at:]}
+        return self._new(self._public(self._df, schema), schema)
+
+    def arrange(self, *keys) -> Frame:
+        exprs = [self._resolve(k if not isinstance(k, str) else self.c[k]) for k in keys]
+        frame, built = self._with_rid()._built(exprs)
+        taken = len([h for h in frame._hidden() if h.startswith(HIDDEN + "o")])
+        names = [f"{HIDDEN}o{taken + i}" for i in range(len(built))]
+        df = frame._df.select("*", *[c.alias(h) for (c, _), h in zip(built, names, strict=True)])
+        order = tuple((h, e._kind == "desc") for h, e in zip(names, exprs, strict=True)) + self._order
+        out = frame._new(df, order=order)
+        return out._new(out._public(df, self._schema))
+
+    def distinct(self, *refs) -> Frame:
+        names = [plain_name(r, self._schema) for r in refs] if refs else list(self._schema)
+        names = list(dict.fromkeys([*self._groups, *names]))
+        schema = {k: self._schema[k] for k in names}
+        return self._new(self._df.select(*map(name_of, names)).distinct(), schema, order=())
+
+    @staticmethod
+    def _whole(k) -> int:
+        if not isinstance(k, int) or k < 0:
+            raise ExprTypeError(f"a number of rows is needed, not {k!r}")
+        return k
+
+    def slice_head(self, n: int = 5) -> Frame:
+        frame = self._with_rid()
+        if not self._groups:
+            return frame._new(frame._df.orderBy(*frame._order_by()).limit(self._whole(n)))
+        w = Window.partitionBy(*map(name_of, self._groups)).orderBy(*frame._order_by())
+        df = frame._df.withColumn(HIDDEN + "n", F.row_number().over(w)).filter(F.col(HIDDEN + "n") <= self._whole(n))
+        return frame._new(frame._public(df, self._schema))
+
+    def slice_tail(self, n: int = 5) -> Frame:
+        frame = self._with_rid()
+        if not self._groups:
+            return frame._new(frame._df.orderBy(*frame._order_by(backwards=True)).limit(self._whole(n)))
+        w = Window.partitionBy(*map(name_of, self._groups)).orderBy(*frame._order_by(backwards=True))
+        df = frame._df.withColumn(HIDDEN + "n", F.row_number().over(w)).filter(F.col(HIDDEN + "n") <= self._whole(n))
+        return frame._new(frame._public(df, self._schema))
+
+    def slice_sample(self, n: int = 5, seed: int | None = None) -> Frame:
+        if self._groups:
+            raise GroupError("slice_sample isn't for grouped frames; ungroup() first")
+        seed = random.randrange(2**31 - 1) if seed is None else seed
+        frame = self._with_rid()
+        place = (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*frame._order_by())) - 1).cast("bigint")
+        df = frame._df.withColumn(HIDDEN + "i", place)
+        m, k = F.lit(2147483647).cast("bigint"), F.lit(48271).cast("bigint")
+        key = ((F.col(HIDDEN + "i") + F.lit(seed).cast("bigint")) % m) * k % m * k % m
+        df = df.orderBy(key, F.col(HIDDEN + "i")).limit(self._whole(n))
+        return frame._new(frame._public(df, self._schema))
+
+    def _extreme(self, order_by, n: int, with_ties: bool, down: bool) -> Frame:
+        e = self._resolve(order_by if not isinstance(order_by, str) else self.c[order_by])
+        key = desc(e) if down else e
+        if not with_ties:
+            return self.arrange(key).slice_head(n)
+        self._whole(n)
+        frame, ((c, _),) = self._built([e])
+        w = Window.partitionBy(*map(name_of, self._groups)) if self._groups else Window.partitionBy(F.lit(1))
+        df = frame._df.filter(c.isNotNull()) if not e.has("window", "agg") else frame._df
+        # a bare rank lets Spark keep only the first n of each group before the shuffle
+        df = df.withColumn(HIDDEN + "r", F.rank().over(w.orderBy(rank_key(key, c)))).filter(F.col(HIDDEN + "r") <= n)
+        if e.has("window", "agg"):
+            df = df.filter(c.isNotNull())
+        return frame._new(frame._public(df, self._schema)).arrange(key)
+
+    def slice_min(self, order_by, n: int = 1, with_ties: bool = True) -> Frame:
+        return self._extreme(order_by, n, with_ties, False)
+
+    def slice_max(self, order_by, n: int = 1, with_ties: bool = True) -> Frame:
+        return self._extreme(order_by, n, with_ties, True)
+
+    def group_by(self, *keys) -> GroupedFrame:
+        if not keys:
+            raise GroupError("group_by needs at least one key")
+        names = [plain_name(k, self._schema) for k in keys]
+        return self._new(self._df, groups=tuple(dict.fromkeys([*self._groups, *names])))
+
+    def ungroup(self) -> Frame:
+        return self._new(self._df, groups=())
+
+    def summarize(self, *acrosses: Across, **named) -> Frame:
+        made: dict[str, Expr] = {}
+        for a in acrosses:
+            made |= a.expand(self._schema, self._groups)
+        made |= {k: self._resolve(v) for k, v in named.items()}
+        for name in made:
+            if name in self._groups:
+                raise DuplicateColumnError(f"{name!r} is a group key already")
+        ordinal, frame = None, self
+        if self._needs_order(made.values()):
+            frame = self._with_rid()
+            ordinal = F.col(RID)
+            if self._order:
+                w = (Window.partitionBy(*map(name_of, self._groups)) if self._groups else Window.partitionBy(F.lit(1))).orderBy(*frame._order_by())
+                frame = frame._new(frame._df.withColumn(HIDDEN + "at", F.row_number().over(w)))
+                ordinal = F.col(HIDDEN + "at")
+        ctx = Context(self._schema, "summary", self._groups, (), ordinal)
+        schema = {g: self._schema[g] for g in self._groups}
+        columns = []
+        for name, e in made.items():
+            c, t = e.build(ctx)
+            schema[name] = t
+            columns.append((c.cast(t.spark) if t != D.Null else c).alias(name))
+        if self._groups:
+            keys = [name_of(g) for g in self._groups]
+            df = frame._df.groupBy(*keys).agg(*columns) if columns else frame._df.select(*keys).distinct()
+        else:
+            df = frame._df.agg(*columns)
+        # results come sorted by their keys, nulls last
+        hidden = [(f"{HIDDEN}o{i}", g) for i, g in enumerate(self._groups)]
+        df = df.select("*", *[name_of(g).alias(h) for h, g in hidden])
+        return self._new(df, schema, order=tuple((h, False) for h, _ in hidden), groups=self._groups[:-1])
+
+    summarise = summarize
+
+    def count(self, *keys, name: str = "n") -> Frame:
+        grouped = self.group_by(*keys) if keys else self
+        out = grouped.summarize(**{name: n()})
+        return out._new(out._df, groups=self._groups)
+
+    # joins
+    def _join(self, other: Frame, on, how: str, suffix=(".x", ".y"), na_matches: str = "na") -> Frame:
+        if other._groups:
+            raise GroupError("the right side of a join can't be grouped; ungroup() it")
+        if na_matches not in ("na", "never"):
+            raise ExprTypeError('na_matches is "na" or "never"')
+        keys = [plain_name(k, self._schema) for k in (on if isinstance(on, (list, tuple)) else [on])]
+        for k in keys:
+            if k not in other._schema:
+                raise ColumnNotFoundError(k, other._schema)
+        kinds = {k: D.unify(self._schema[k], other._schema[k], f"the join key {k!r}") for k in keys}
+        # plain positions on either side, so equal names never meet
+        left = self._df.select(*[(name_of(k).cast(kinds[k].spark) if k in kinds and kinds[k] != D.Null else name_of(k)).alias(f"l{i}") for i, k in enumerate(self._schema)])
+        right = other._df.select(*[(name_of(k).cast(kinds[k].spark) if k in kinds and kinds[k] != D.Null else name_of(k)).alias(f"r{i}") for i, k in enumerate(other._schema)])
+        ls, rs = {k: f"l{i}" for i, k in enumerate(self._schema)}, {k: f"r{i}" for i, k in enumerate(other._schema)}
+        condition = None
+        for k in keys:
+            same = F.col(ls[k]).eqNullSafe(F.col(rs[k])) if na_matches == "na" else F.col(ls[k]) == F.col(rs[k])
+            condition = same if condition is None else condition & same
+        df = left.join(right, condition, how)
+        schema, out, new_name = {}, [], {}
+        both = {"right": lambda k: F.col(rs[k]), "full": lambda k: F.coalesce(ls[k], rs[k])}.get(how, lambda k: F.col(ls[k]))
+        filtering = how in ("left_semi", "left_anti")
+        for k, t in self._schema.items():
+            clash = not filtering and k not in kinds and k in other._schema
+            new_name[k] = k + suffix[0] if clash else k
+            self._put(schema, out, new_name[k], kinds.get(k, t), both(k) if k in kinds else F.col(ls[k]))
+        if not filtering:
+            for k, t in other._schema.items():
+                if k not in kinds:
+                    self._put(schema, out, k + suffix[1] if k in self._schema else k, t, F.col(rs[k]))
+        return self._new(df.select(*out), schema, order=(), groups=tuple(new_name[g] for g in self._groups))
+
+    @staticmethod
+    def _put(schema: dict, out: list, name: str, kind: D.DType, c: Column) -> None:
+        if name in schema:
+            raise DuplicateColumnError(f"two columns would be named {name!r}; choose other suffixes")
+        schema[name] = kind
+        out.append(c.alias(name))
+
+    def inner_join(self, other, on, suffix=(".x", ".y"), na_matches="na") -> Frame:
+        return self._join(other, on, "inner", suffix, na_matches)
+
+    def left_join(self, other, on, suffix=(".x", ".y"), na_matches="na") -> Frame:
+        return self._join(other, on, "left", suffix, na_matches)
+
+    def right_join(self, other, on, suffix=(".x", ".y"), na_matches="na") -> Frame:
+        return self._join(other, on, "right", suffix, na_matches)
+
+    def full_join(self, other, on, suffix=(".x", ".y"), na_matches="na") -> Frame:
+        return self._join(other, on, "full", suffix, na_matches)
+
+    def semi_join(self, other, on) -> Frame:
+        return self._join(other, on, "left_semi")
+
+    def anti_join(self, other, on) -> Frame:
+        return self._join(other, on, "left_anti")
+
+    # reshaping
+    def pivot_longer(self, *cols, names_to: str = "name", values_to: str = "value") -> Frame:
+        names = resolve(cols, self._schema)
+        if not names:
+            raise ExprTypeError("pivot_longer needs at least one column")
+        kind = D.Null
+        for k in names:
+            kind = D.unify(kind, self._schema[k], f"pivot_longer of {k!r}")
+        ids = [k for k in self._schema if k not in names]
+        schema = {k: self._schema[k] for k in ids}
+        for k, t in ((names_to, D.Str), (values_to, kind)):
+            if k in schema:
+                raise DuplicateColumnError(f"two columns would be named {k!r}")
+            schema[k] = t
+        df = self._df.select(*map(name_of, ids), *[name_of(k).cast(kind.spark).alias(k) if kind != D.Null else name_of(k) for k in names])
+        df = df.unpivot([name_of(k) for k in ids], [name_of(k) for k in names], names_to, values_to)
+        return self._new(df, schema, order=(), groups=tuple(g for g in self._groups if g in ids))
+
+    def pivot_wider(self, names_from, values_from, most: int = 10_000) -> Frame:
+        """Runs at once to learn the new columns' names, in the order in which they first appear."""
+        key, value = plain_name(names_from, self._schema), plain_name(values_from, self._schema)
+        ids = [k for k in self._schema if k not in (key, value)]
+        frame = self._with_rid()
+        if self._order:
+            w = Window.partitionBy(F.lit(1)).orderBy(*frame._order_by())
+            frame = frame._new(frame._df.withColumn(RID, F.row_number().over(w).cast("bigint")))
+        spread = frame._df.select(*map(name_of, ids), name_of(key).cast("string").alias(HIDDEN + "k"), name_of(value).alias(HIDDEN + "v"), RID)
+        names = spread.groupBy(HIDDEN + "k").agg(F.min(RID).alias("at")).orderBy("at").limit(most + 1).collect()
+        if len(names) > most:
+            raise ExprTypeError(f"pivot_wider would make over {most} columns")
+        names = [r[0] for r in names]
+        if spread.groupBy(*map(name_of, ids), HIDDEN + "k").count().where("count > 1").limit(1).count():
+            warnings.warn("pivot_wider: some cells have several values; the first of each is kept", stacklevel=2)
+        cells = [F.min_by(HIDDEN + "v", F.when(F.col(HIDDEN + "k").eqNullSafe(F.lit(k)), F.col(RID))).alias("null" if k is None else k) for k in names]
+        df = spread.groupBy(*map(name_of, ids)).agg(*cells) if ids else spread.agg(*cells)
+        schema = {k: self._schema[k] for k in ids}
+        for k in names:
+            k = "null" if k is None else k
+            if k in schema:
+                raise DuplicateColumnError(f"two columns would be named {k!r}")
+            schema[k] = self._schema[value]
+        return self._new(df, schema, order=(), groups=())
+
+    def separate(self, column, into, sep: str = "_", remove: bool = True) -> Frame:
+        name = plain_name(column, self._schema)
+        if self._schema[name] not in (D.Str, D.Null):
+            raise ExprTypeError(f"separate needs text, and {name!r} is {self._schema[name]}")
+        if remove and name in self._groups:
+            raise GroupError(f"{name!r} is a group key")
+        pieces = F.split(name_of(name), "\\Q" + sep.replace("\\E", "\\E\\\\E\\Q") + "\\E", -1)
+        schema, out = {}, []
+        for k, t in self._schema.items():
+            if k != name:
+                self._put(schema, out, k, t, name_of(k))
+                continue
+            for i, piece in enumerate(into):
+                self._put(schema, out, piece, D.Str, F.get(pieces, F.lit(i)))
+            if not remove:
+                self._put(schema, out, k, t, name_of(k))
+        return self._new(self._df.select(*out, *self._hidden()), schema)
+
+    def unite(self, new: str, cols, sep: str = "_", remove: bool = True, na_rm: bool = False) -> Frame:
+        names = resolve(cols if isinstance(cols, (list, tuple)) else [cols], self._schema)
+        if remove and set(names) & set(self._groups):
+            raise GroupError("unite can't remove a group key")
+        texts = [name_of(k).cast("string") for k in names]
+        made = F.concat_ws(sep, *[t if na_rm else F.coalesce(t, F.lit("NA")) for t in texts])
+        schema, out = {}, []
+        for k, t in self._schema.items():
+            if k == names[0]:
+                self._put(schema, out, new, D.Str, made)
+            if k not in names or not remove:
+                self._put(schema, out, k, t, name_of(k))
+        return self._new(self._df.select(*out, *self._hidden()), schema)
+
+    # boundaries
+    def to_spark(self, ordered: bool = True) -> DataFrame:
+        """The frame's rows as a Spark DataFrame of the public columns, in the frame's order if it has one."""
+        if not self._attached:
+            raise BackendError("this frame has a schema but no data attached")
+        df = self._df
+        if ordered and (self._order or RID in df.columns):
+            df = df.orderBy(*self._order_by())
+        return df.select(*[name_of(k) for k in self._schema])
+
+    def collect(self):
+        """The rows as an Arrow table."""
+        return self.to_spark().toArrow()
+
+    def to_pandas(self):
+        return self.to_spark().toPandas()
+
+    def to_numpy(self):
+        return self.to_pandas().to_numpy()
+
+    def pull(self, column=None) -> list:
+        name = plain_name(column, self._schema) if column is not None else list(self._schema)[-1]
+        return self.to_spark().select(name_of(name)).toArrow().column(0).to_pylist()
+
+    def persist(self) -> Frame:
+        """A snapshot in the folder of spark.checkpoint.dir; groups stay."""
+        from ..sources.io import checkpointed
+
+        frame = self._with_rid() if self._order else self
+        return frame._new(checkpointed(frame._df))
+
+    def to_table(self, name: str, temporary: bool = False) -> Frame:
+        df = self.to_spark()
+        if temporary:
+            df.cache().createOrReplaceTempView(name)
+        else:
+            df.write.mode("overwrite").saveAsTable(name)
+        return Frame(df.sparkSession.table(name))
+
+    def to_view(self, name: str) -> Frame:
+        df = self.to_spark()
+        df.createOrReplaceTempView(name)
+        return Frame(df.sparkSession.table(name))
+
+    def write(self, path: str, table: str | None = None) -> None:
+        from ..sources.io import write
+
+        write(self, path, table)
+
+    def show_query(self) -> str:
+        """The optimised and physical plan, as text."""
+        df = self.to_spark()
+        return df._jdf.queryExecution().explainString(df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+    def glimpse(self) -> Frame:
+        rows = self.to_spark().limit(5).toArrow()
+        for k, t in self._schema.items():
+            print(f"{k} <{t}> {', '.join(map(str, rows.column(k).to_pylist()))}")
+        return self
+
+    @property
+    def shape(self) -> tuple[int, int]:
+        return len(self), len(self._schema)
+
+    def __len__(self) -> int:
+        return self.to_spark(ordered=False).count()
+
+    def __iter__(self):
+        for row in self.to_spark().toLocalIterator():
+            yield row.asDict()
+
+    def __getitem__(self, name: str) -> list:
+        return self.pull(name)
+
+    def __repr__(self) -> str:
+        head = f"# groups: {', '.join(self._groups)}\n" if self._groups else ""
+        kinds = ", ".join(f"{k} <{t}>" for k, t in self._schema.items())
+        if not self._attached:
+            return f"{head}{kinds}\n(no data attached)"
+        rows = self.to_spark().limit(11).toPandas()
+        return f"{head}{kinds}\n{rows.head(10)}" + ("\n..." if len(rows) > 10 else "")
+
+
+class GroupedFrame(Frame):
+    """A frame with group keys, which summarize, windows and slices follow until ungroup()."""

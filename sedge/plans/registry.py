@@ -6,10 +6,249 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .. import (
+    Float64, Frame, Str, across, case_when, coalesce, col, contains, cum_max, cum_min, cum_sum, dense_rank, desc,
+    if_else, lag, lead, min_rank, n, percent_rank, replace_na, row_number, starts_with, where,
+)
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str):
+    """Register a function of t, which gives a table as a frame, with its SQL."""
+
+    def put(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: Frame(spark.read.parquet(f"{sf_dir}/{name}.parquet"))).to_spark()
+        SQL[f.__name__] = sql
+        return f
+
+    return put
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+LINE = "CAST(l_linenumber AS BIGINT) AS l_linenumber"
+
+
+@query("""SELECT l_returnflag, l_linestatus, count(*) AS n, round(sum(l_quantity), 2) AS qty, round(avg(l_discount), 6) AS disc
+          FROM lineitem WHERE l_quantity < 40 GROUP BY ALL""")
+def q1_pricing_summary(t):
+    return t("lineitem").filter(col.l_quantity < 40).group_by("l_returnflag", "l_linestatus").summarize(n=n(), qty=col.l_quantity.sum().round(2), disc=col.l_discount.mean().round(6))
+
+
+@query(f"SELECT l_orderkey, {LINE} FROM lineitem WHERE l_quantity BETWEEN 10 AND 20 AND l_returnflag IN ('A', 'R') AND NOT l_discount > 0.05")
+def filter_basic(t):
+    return t("lineitem").filter(col.l_quantity.between(10, 20), col.l_returnflag.is_in(["A", "R"]), ~(col.l_discount > 0.05)).select("l_orderkey", "l_linenumber")
+
+
+@query("SELECT p_partkey, lower(p_name) AS low, upper(p_brand) AS up, length(p_type) AS len FROM part WHERE regexp_matches(p_type, '^[A-M].*[A-Z]$')")
+def strings(t):
+    p = t("part").filter(col.p_type.str_detect("^[A-M].*[A-Z]$"))
+    return p.mutate(low=col.p_name.str_to_lower(), up=col.p_brand.str_to_upper(), len=col.p_type.str_len()).select("p_partkey", "low", "up", "len")
+
+
+@query("SELECT p_partkey, regexp_replace(p_type, '[AEIOU]', '_') AS r FROM part")
+def str_replace_first(t):
+    return t("part").mutate(r=col.p_type.str_replace("[AEIOU]", "_")).select("p_partkey", "r")
+
+
+@query(f"""SELECT l_orderkey, {LINE}, l_extendedprice * (1 - l_discount) AS net, l_extendedprice / (l_quantity - l_quantity) AS inf,
+           l_orderkey - 7 * CAST(floor(l_orderkey / 7) AS BIGINT) AS md, CAST(floor(l_orderkey / 7) AS BIGINT) AS dv, pow(l_quantity, 2) AS sq
+           FROM lineitem""")
+def mutate_arith(t):
+    x = t("lineitem").mutate(net=col.l_extendedprice * (1 - col.l_discount), inf=col.l_extendedprice / (col.l_quantity - col.l_quantity), md=col.l_orderkey % 7, dv=col.l_orderkey // 7, sq=col.l_quantity**2)
+    return x.select("l_orderkey", "l_linenumber", "net", "inf", "md", "dv", "sq")
+
+
+@query("""SELECT event_id, CASE WHEN value > 50 THEN 'high' WHEN value > 10 THEN 'mid' END AS band, CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END AS flag,
+          coalesce(nullif(event_type, 'click'), 'none') AS kind, year(ts) AS y, month(ts) AS m, day(ts) AS d FROM events""")
+def mutate_cases(t):
+    e = t("events").mutate(band=case_when((col.value > 50, "high"), (col.value > 10, "mid")), flag=if_else(col.value > 50, 1.0, 0.0))
+    e = e.mutate(kind=replace_na(if_else(col.event_type == "click", None, col.event_type), "none"), y=col.ts.year(), m=col.ts.month(), d=col.ts.day())
+    return e.select("event_id", "band", "flag", "kind", "y", "m", "d")
+
+
+@query("SELECT o_orderkey, round(ln(o_totalprice), 6) AS l, round(sqrt(o_totalprice), 6) AS s, CAST(floor(o_totalprice) AS BIGINT) AS f, CAST(ceil(o_totalprice) AS BIGINT) AS c, abs(0 - o_totalprice) AS a FROM orders")
+def mutate_math(t):
+    return t("orders").mutate(l=col.o_totalprice.log().round(6), s=col.o_totalprice.sqrt().round(6), f=col.o_totalprice.floor(), c=col.o_totalprice.ceiling(), a=(0 - col.o_totalprice).abs()).select("o_orderkey", "l", "s", "f", "c", "a")
+
+
+@query(f"SELECT l_orderkey, {LINE}, round(l_extendedprice - avg(l_extendedprice) OVER (PARTITION BY l_suppkey), 4) AS dev FROM lineitem")
+def grouped_mutate_mean(t):
+    return t("lineitem").group_by("l_suppkey").mutate(dev=(col.l_extendedprice - col.l_extendedprice.mean()).round(4)).ungroup().select("l_orderkey", "l_linenumber", "dev")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) FROM orders)")
+def ungrouped_filter_mean(t):
+    return t("orders").filter(col.o_totalprice > col.o_totalprice.mean()).select("o_orderkey", "o_totalprice")
+
+
+@query("SELECT s_nationkey, s_suppkey FROM (SELECT CAST(s_nationkey AS BIGINT) AS s_nationkey, s_suppkey, s_acctbal, max(s_acctbal) OVER (PARTITION BY s_nationkey) AS m FROM supplier) WHERE s_acctbal = m")
+def grouped_filter_max(t):
+    return t("supplier").group_by("s_nationkey").filter(col.s_acctbal == col.s_acctbal.max()).select("s_suppkey")
+
+
+@query("""SELECT l_suppkey, round(median(l_extendedprice), 4) AS med, round(stddev_samp(l_quantity), 6) AS sd, round(var_samp(l_quantity), 5) AS va, min(l_quantity) AS lo,
+          max(l_quantity) AS hi, count(DISTINCT l_partkey) AS parts, CAST(sum(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS deep FROM lineitem GROUP BY 1""")
+def summ_stats(t):
+    g = t("lineitem").group_by("l_suppkey")
+    return g.summarize(med=col.l_extendedprice.median().round(4), sd=col.l_quantity.std().round(6), va=col.l_quantity.var().round(5), lo=col.l_quantity.min(), hi=col.l_quantity.max(), parts=col.l_partkey.n_unique(), deep=(col.l_discount > 0.05).sum())
+
+
+@query("SELECT user_id, arg_min(value, (ts, event_id)) AS f, arg_max(value, (ts, event_id)) AS l FROM events GROUP BY 1")
+def summ_first_last(t):
+    return t("events").arrange("ts", "event_id").group_by("user_id").summarize(f=col.value.first(), l=col.value.last())
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY ALL")
+def count_two(t):
+    return t("orders").count("o_orderstatus", "o_orderpriority")
+
+
+@query("SELECT l_returnflag, count(*) AS statuses, CAST(sum(n) AS BIGINT) AS rows FROM (SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ALL) GROUP BY 1")
+def rollup_chain(t):
+    return t("lineitem").group_by("l_returnflag", "l_linestatus").summarize(k=n()).summarize(statuses=n(), rows=col.k.sum())
+
+
+@query("SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem")
+def distinct_columns(t):
+    return t("lineitem").distinct("l_returnflag", "l_linestatus")
+
+
+@query("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+def arrange_head(t):
+    return t("orders").arrange(desc(col.o_totalprice), "o_orderkey").select("o_orderkey", "o_totalprice").slice_head(20)
+
+
+@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r <= 2")
+def slice_tail_grouped(t):
+    return t("events").arrange("ts", "event_id").group_by("user_id").slice_tail(2).select("event_id")
+
+
+@query("SELECT CAST(p_size AS BIGINT) AS p_size, p_partkey FROM (SELECT *, rank() OVER (PARTITION BY p_size ORDER BY p_retailprice DESC) AS r FROM part) WHERE r <= 3")
+def slice_max_ties(t):
+    return t("part").group_by("p_size").slice_max(col.p_retailprice, n=3).select("p_partkey")
+
+
+@query("SELECT p_partkey FROM part ORDER BY p_retailprice, p_partkey LIMIT 7")
+def slice_min_no_ties(t):
+    return t("part").arrange("p_partkey").slice_min("p_retailprice", n=7, with_ties=False).select("p_partkey")
+
+
+@query("""SELECT c_custkey FROM (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS i FROM customer)
+          ORDER BY ((((i + 42) % 2147483647) * 48271 % 2147483647) * 48271) % 2147483647, i LIMIT 25""")
+def slice_sample_seeded(t):
+    return t("customer").arrange("c_custkey").slice_sample(25, seed=42).select("c_custkey")
+
+
+@query("SELECT n_name, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1")
+def join_inner_star(t):
+    o = t("orders").rename(c_custkey="o_custkey").inner_join(t("customer"), on="c_custkey").rename(n_nationkey="c_nationkey")
+    return o.inner_join(t("nation"), on="n_nationkey").group_by("n_name").summarize(n=n(), total=col.o_totalprice.sum().round(2))
+
+
+_S = "(SELECT s_suppkey AS k, s_acctbal AS v FROM supplier)"
+_C = "(SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 3 = 0)"
+
+
+def _sides(t):
+    return t("supplier").rename(k="s_suppkey", v="s_acctbal").select("k", "v"), t("customer").rename(k="c_custkey", v="c_acctbal").filter(col.k % 3 == 0).select("k", "v")
+
+
+for _how, _sql in (("left", "l.k"), ("right", "r.k"), ("full", "coalesce(l.k, r.k)")):
+
+    def _join(t, how=_how):
+        left, right = _sides(t)
+        return getattr(left, f"{how}_join")(right, on="k")
+
+    _join.__name__ = f"join_{_how}"
+    query(f'SELECT {_sql} AS k, l.v AS "v.x", r.v AS "v.y" FROM {_S} l {_how} JOIN {_C} r ON l.k IS NOT DISTINCT FROM r.k')(_join)
+
+
+@query(f"SELECT k, v FROM {_S} l WHERE EXISTS (SELECT 1 FROM {_C} r WHERE r.k = l.k)")
+def join_semi(t):
+    left, right = _sides(t)
+    return left.semi_join(right, on="k")
+
+
+@query(f"SELECT k, v FROM {_S} l WHERE NOT EXISTS (SELECT 1 FROM {_C} r WHERE r.k = l.k)")
+def join_anti(t):
+    left, right = _sides(t)
+    return left.anti_join(right, on="k")
+
+
+_NA = "(SELECT CASE WHEN n_regionkey = 1 THEN NULL ELSE CAST(n_regionkey AS BIGINT) END AS k, n_name FROM nation) l, (SELECT CASE WHEN r_regionkey = 1 THEN NULL ELSE CAST(r_regionkey AS BIGINT) END AS k, r_name FROM region) r"
+
+
+def _na_sides(t):
+    blank = lambda c: if_else(c == 1, None, c)
+    return t("nation").mutate(k=blank(col.n_regionkey)).select("k", "n_name"), t("region").mutate(k=blank(col.r_regionkey)).select("k", "r_name")
+
+
+@query(f"SELECT l.k, n_name, r_name FROM {_NA} WHERE l.k IS NOT DISTINCT FROM r.k")
+def join_na_matches(t):
+    left, right = _na_sides(t)
+    return left.inner_join(right, on="k")
+
+
+@query(f"SELECT l.k, n_name, r_name FROM {_NA} WHERE l.k = r.k")
+def join_na_never(t):
+    left, right = _na_sides(t)
+    return left.inner_join(right, on="k", na_matches="never")
+
+
+@query("""SELECT user_id, event_id, lag(value) OVER w AS a, lead(value, 2, 0.0) OVER w AS b, row_number() OVER w AS r, round(sum(value) OVER w, 3) AS s, min(value) OVER w AS lo, max(value) OVER w AS hi
+          FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def windows_ordered(t):
+    e = t("events").arrange("ts", "event_id").group_by("user_id")
+    return e.mutate(a=lag(col.value), b=lead(col.value, 2, 0.0), r=row_number(), s=cum_sum(col.value).round(3), lo=cum_min(col.value), hi=cum_max(col.value)).select("event_id", "a", "b", "r", "s", "lo", "hi")
+
+
+@query("""SELECT CAST(p_size AS BIGINT) AS p_size, p_partkey, rank() OVER w AS r, dense_rank() OVER w AS d, round(percent_rank() OVER w, 9) AS p FROM part
+          WINDOW w AS (PARTITION BY p_size ORDER BY p_retailprice) QUALIFY count(*) OVER (PARTITION BY p_size) > 1""")
+def windows_ranks(t):
+    p = t("part").group_by("p_size").mutate(r=min_rank(col.p_retailprice), d=dense_rank(col.p_retailprice), p=percent_rank(col.p_retailprice).round(9))
+    return p.filter(n() > 1).select("p_partkey", "r", "d", "p")
+
+
+@query("SELECT c_custkey, name, value FROM (SELECT c_custkey, CAST(c_nationkey AS DOUBLE) AS c_nationkey, c_acctbal FROM customer) UNPIVOT (value FOR name IN (c_nationkey, c_acctbal))")
+def pivot_longer(t):
+    return t("customer").select("c_custkey", "c_nationkey", "c_acctbal").pivot_longer("c_nationkey", "c_acctbal")
+
+
+@query("""SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS "F", count(*) FILTER (o_orderstatus = 'O') AS "O", count(*) FILTER (o_orderstatus = 'P') AS "P" FROM orders GROUP BY 1""")
+def pivot_wider(t):
+    return t("orders").count("o_orderpriority", "o_orderstatus").pivot_wider("o_orderstatus", "n").mutate(F=coalesce(col.F, 0), O=coalesce(col.O, 0), P=coalesce(col.P, 0))
+
+
+@query("""SELECT p_partkey, string_split(p_type, ' ')[1] AS a, string_split(p_type, ' ')[2] AS b, p_brand || '-' || CAST(p_size AS VARCHAR) AS u FROM part""")
+def separate_unite(t):
+    p = t("part").select("p_partkey", "p_type", "p_brand", "p_size").separate("p_type", ["a", "b"], sep=" ")
+    return p.unite("u", ["p_brand", "p_size"], sep="-")
+
+
+@query("SELECT l_returnflag, round(avg(l_quantity), 6) AS l_quantity_mean, max(l_quantity) AS l_quantity_max, round(avg(l_tax), 8) AS l_tax_mean, max(l_tax) AS l_tax_max FROM lineitem GROUP BY 1")
+def across_summary(t):
+    return t("lineitem").group_by("l_returnflag").summarize(across(["l_quantity", "l_tax"], ["mean", "max"])).mutate(l_quantity_mean=col.l_quantity_mean.round(6), l_tax_mean=col.l_tax_mean.round(8))
+
+
+@query("SELECT c_acctbal, c_custkey, c_name, c_mktsegment FROM customer")
+def select_relocate(t):
+    return t("customer").select(starts_with("c_"), -contains("nation")).relocate(where(lambda k: k == Float64))
+
+
+@query("SELECT s_suppkey, CAST(s_nationkey AS VARCHAR) AS nation, s_acctbal IS NULL AS no FROM supplier")
+def cast_is_na(t):
+    return t("supplier").mutate(nation=col.s_nationkey.cast(Str), no=col.s_acctbal.is_na()).select("s_suppkey", "nation", "no")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS s, NULL::DOUBLE AS m FROM orders WHERE o_orderkey < 0")
+def summ_empty(t):
+    return t("orders").filter(col.o_orderkey < 0).summarize(n=n(), s=col.o_custkey.sum(), m=col.o_totalprice.mean())
