@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import operator
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from .. import dtypes as D
 from ..errors import ColumnNotFoundError, ExprTypeError
+from ..operators import places
 
 
 def name_of(column: str) -> Column:
@@ -28,13 +30,14 @@ class Context:
     ordinal: Column | None = None  # in summaries: the place of a row in the current order
     scalars: list[Column] = field(default_factory=list)  # aggregates over the whole frame, joined as one row
     inside: str = ""  # "agg" or "window" while an argument is built
+    steps: list[Callable] = field(default_factory=list)  # windows of an ungrouped frame, each a column made by joins
 
     def within(self, what: str) -> Context:
-        return Context(self.schema, self.mode, self.groups, self.order, self.ordinal, self.scalars, what)
+        return Context(self.schema, self.mode, self.groups, self.order, self.ordinal, self.scalars, what, self.steps)
 
     @property
     def partition(self):
-        return Window.partitionBy(*[name_of(g) for g in self.groups]) if self.groups else Window.partitionBy(F.lit(1))
+        return Window.partitionBy(*[name_of(g) for g in self.groups])
 
     @property
     def ordered(self):
@@ -57,6 +60,11 @@ class Expr:
     def has(self, *kinds: str) -> bool:
         return self._kind in kinds or any(p.has(*kinds) for p in self._parts)
 
+    def ordered(self) -> bool:
+        """Whether the order of the rows counts: in windows but ranks, and in first and last."""
+        own = self._kind == "window" and self._name not in ("min_rank", "dense_rank", "percent_rank") or self._kind == "agg" and self._name in ("first", "last")
+        return own or any(p.ordered() for p in self._parts)
+
     def columns(self) -> set[str]:
         own = {self._name} if self._kind == "col" else set()
         return own.union(*[p.columns() for p in self._parts])
@@ -325,6 +333,8 @@ def _agg(name: str, e: Expr | None, na_rm: bool) -> Expr:
         if name in ("first", "last"):
             if ctx.mode == "summary":
                 return (F.min_by if name == "first" else F.max_by)(c, ctx.ordinal), t
+            if not ctx.groups:
+                return _scalar(ctx, (F.min_by if name == "first" else F.max_by)(c, F.col(places.POS))), t
             frame = ctx.ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
             return (F.first if name == "first" else F.last)(c).over(frame), t
         if name == "n_unique":
@@ -346,7 +356,7 @@ def _agg(name: str, e: Expr | None, na_rm: bool) -> Expr:
             out = _scalar(ctx, out)
         return out, kind
 
-    return Expr(build, f"{e}.{name}()" if e is not None else "n()", () if e is None else (e,), "agg")
+    return Expr(build, f"{e}.{name}()" if e is not None else "n()", () if e is None else (e,), "agg", name)
 
 
 def _scalar(ctx: Context, made: Column) -> Column:
@@ -354,6 +364,13 @@ def _scalar(ctx: Context, made: Column) -> Column:
     return F.col(f"__sedge_s{len(ctx.scalars) - 1}")
 
 
+def _step(ctx: Context, make, *args) -> Column:
+    """The column that make(df, its name, *args) adds to the frame."""
+    name = f"__sedge_w{len(ctx.steps)}"
+    ctx.steps.append(lambda df: make(df, name, *args))
+    return F.col(name)
+
+
 def _placed(ctx: Context, made: Column) -> Column:
     if ctx.mode == "summary":
         return made
@@ -374,7 +391,7 @@ def _window(name: str, e: Expr | None, make, ordered: bool = True) -> Expr:
         c, t = e.build(ctx.within("window")) if e is not None else (None, None)
         return make(ctx, c, t)
 
-    return Expr(build, f"{name}({'' if e is None else e})", () if e is None else (e,), "window")
+    return Expr(build, f"{name}({'' if e is None else e})", () if e is None else (e,), "window", name)
 
 
 def _shift(name: str, function, e, k: int, default) -> Expr:
@@ -383,6 +400,8 @@ def _shift(name: str, function, e, k: int, default) -> Expr:
     def make(ctx, c, t):
         d, dt = default.build(ctx)
         out = D.unify(t, dt, name)
+        if not ctx.groups:
+            return _step(ctx, places.shifted, _to(c, out), k if name == "lag" else -k, None if dt == D.Null else _to(d, out)), out
         place = F.row_number().over(ctx.ordered)
         moved = function(_to(c, out), k).over(ctx.ordered)
         if dt == D.Null:
@@ -403,7 +422,7 @@ def lead(e, n: int = 1, default=None) -> Expr:
 
 
 def row_number() -> Expr:
-    return _window("row_number", None, lambda ctx, c, t: (F.row_number().over(ctx.ordered).cast("bigint"), D.Int64))
+    return _window("row_number", None, lambda ctx, c, t: (F.row_number().over(ctx.ordered).cast("bigint") if ctx.groups else F.col(places.POS), D.Int64))
 
 
 def desc(e) -> Expr:
@@ -421,10 +440,12 @@ def _rank(name: str, function, e) -> Expr:
     e = wrap(e)
 
     def make(ctx, c, t):
-        w = ctx.partition.orderBy(rank_key(e, c))
-        place = function().over(w)
+        if ctx.groups:
+            place = function().over(ctx.partition.orderBy(rank_key(e, c)))
+        else:
+            place = _step(ctx, places.ranked, c, e._kind == "desc", name == "dense_rank")
         if name == "percent_rank":
-            full = F.count(c).over(ctx.partition)
+            full = F.count(c).over(ctx.partition) if ctx.groups else _step(ctx, places.counted, c)
             return F.when(c.isNotNull(), _divide(place - 1, full - 1)), D.Float64
         return F.when(c.isNotNull(), place.cast("bigint")), D.Int64
 
@@ -449,6 +470,9 @@ def _cumulative(name: str, function, e) -> Expr:
             raise ExprTypeError(f"cum_sum needs numbers, not {t}")
         kind = D.Int64 if t == D.Bool and name == "cum_sum" else t
         x = c.cast(kind.spark) if kind != t else c
+        if not ctx.groups:
+            join = {"cum_sum": operator.add, "cum_min": F.least, "cum_max": F.greatest}[name]
+            return _step(ctx, places.running, x, function, join), kind
         frame = ctx.ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return F.when(c.isNotNull(), function(x).over(frame)), kind
 

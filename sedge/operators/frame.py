@@ -1,7 +1,8 @@
 """Frames: a Spark DataFrame with groups and a pending order.
 
 The order of rows is kept as hidden columns and applied only where it shows: on collecting, in heads
-and tails, in ordered windows and ordered sinks. Nothing runs before that.
+and tails, in ordered windows and ordered sinks. Nothing runs before that, but for verbs that need
+the places of all rows (windows and samples of ungrouped frames, pivot_wider): they sort and write at once.
 """
 
 from __future__ import annotations
@@ -15,11 +16,9 @@ from pyspark.sql import functions as F
 from .. import dtypes as D
 from ..errors import BackendError, ColumnNotFoundError, DuplicateColumnError, ExprTypeError, GroupError
 from ..functions.expr import Context, Expr, desc, min_rank, n, name_of, rank_key, wrap
+from .places import HIDDEN, POS, RID, place
 from .select import Across, plain_name, resolve
 
-HIDDEN = "__sedge_"
-RID = HIDDEN + "rid"
-
 
 class _Names:
     """df.c.x: columns of this frame only."""
@@ -79,6 +78,29 @@ class Frame:
         """A row id in the order of the rows, added when it is first needed."""
         return self if RID in self._df.columns else self._new(self._df.withColumn(RID, F.monotonically_increasing_id()))
 
+    def _placed(self) -> Frame:
+        """This frame with its rows' positions; it is sorted and written for that, and its order is then that of the row ids."""
+        frame = self._with_rid()
+        return frame._new(place(frame._df, frame._order_by()).drop(*[o for o, _ in self._order]), order=())
+
+    def _ordinal(self) -> Column | None:
+        """A value that sorts as the rows do, or None where a descending text has none."""
+        parts = []
+        for name, down in self._order:
+            c, kind = F.col(name), self._df.schema[name].dataType.simpleString()
+            if not down:
+                value = [c]
+            elif kind == "double":
+                value = [~F.isnan(c), -c]
+            elif kind in ("bigint", "boolean"):
+                value = [F.bitwise_not(c.cast("bigint"))]
+            elif kind == "date":
+                value = [-F.unix_date(c)]
+            else:
+                return None
+            parts += [c.isNull(), *value]
+        return F.struct(*[p.alias(f"p{i}") for i, p in enumerate([*parts, F.col(RID)])])
+
     def _order_by(self, backwards: bool = False) -> list[Column]:
         out = []
         for name, down in self._order:
@@ -94,18 +116,19 @@ class Frame:
     def _row_context(self) -> Context:
         return Context(self._schema, "row", self._groups, tuple(self._order_by()))
 
-    @staticmethod
-    def _needs_order(exprs) -> bool:
-        return any(e.has("window") or "first()" in repr(e) or "last()" in repr(e) for e in exprs)
-
     def _built(self, exprs: list[Expr]) -> tuple[Frame, list[tuple[Column, D.DType]]]:
         """Row-wise columns of the expressions over this frame; aggregates of an ungrouped frame come as one joined row."""
-        frame = self._with_rid() if self._needs_order(exprs) else self
+        ordered = any(e.ordered() for e in exprs)
+        frame = self._with_rid() if ordered else self
         ctx = frame._row_context()
         out = [e.build(ctx) for e in exprs]
+        if ordered and not self._groups:
+            frame = frame._placed()
         if ctx.scalars:
             one = frame._df.agg(*[c.alias(f"{HIDDEN}s{i}") for i, c in enumerate(ctx.scalars)])
             frame = frame._new(frame._df.crossJoin(F.broadcast(one)))
+        for step in ctx.steps:
+            frame = frame._new(step(frame._df))
         return frame, out
 
     def _public(self, df: DataFrame, schema: dict) -> DataFrame:
@@ -192,7 +215,7 @@ class Frame:
         taken = len([h for h in frame._hidden() if h.startswith(HIDDEN + "o")])
         names = [f"{HIDDEN}o{taken + i}" for i in range(len(built))]
         df = frame._df.select("*", *[c.alias(h) for (c, _), h in zip(built, names, strict=True)])
-        order = tuple((h, e._kind == "desc") for h, e in zip(names, exprs, strict=True)) + self._order
+        order = tuple((h, e._kind == "desc") for h, e in zip(names, exprs, strict=True)) + frame._order
         out = frame._new(df, order=order)
         return out._new(out._public(df, self._schema))
 
@@ -228,9 +251,8 @@ class Frame:
         if self._groups:
             raise GroupError("slice_sample isn't for grouped frames; ungroup() first")
         seed = random.randrange(2**31 - 1) if seed is None else seed
-        frame = self._with_rid()
-        place = (F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(*frame._order_by())) - 1).cast("bigint")
-        df = frame._df.withColumn(HIDDEN + "i", place)
+        frame = self._placed()
+        df = frame._df.withColumn(HIDDEN + "i", F.col(POS) - 1)
         m, k = F.lit(2147483647).cast("bigint"), F.lit(48271).cast("bigint")
         key = ((F.col(HIDDEN + "i") + F.lit(seed).cast("bigint")) % m) * k % m * k % m
         df = df.orderBy(key, F.col(HIDDEN + "i")).limit(self._whole(n))
@@ -243,7 +265,14 @@ class Frame:
             return self.arrange(key).slice_head(n)
         self._whole(n)
         frame, ((c, _),) = self._built([e])
-        w = Window.partitionBy(*map(name_of, self._groups)) if self._groups else Window.partitionBy(F.lit(1))
+        if not self._groups:
+            # the n-th value bounds the rows kept; ties with it stay where they are
+            at, edge = HIDDEN + "e", HIDDEN + "edge"
+            df = frame._df.withColumn(at, c).filter(F.col(at).isNotNull())
+            bound = df.orderBy(F.desc(at) if down else F.asc(at)).limit(n).agg((F.min if down else F.max)(at).alias(edge))
+            df = df.crossJoin(F.broadcast(bound)).filter(F.col(at) >= F.col(edge) if down else F.col(at) <= F.col(edge))
+            return frame._new(frame._public(df, self._schema)).arrange(key)
+        w = Window.partitionBy(*map(name_of, self._groups))
         df = frame._df.filter(c.isNotNull()) if not e.has("window", "agg") else frame._df
         # a bare rank lets Spark keep only the first n of each group before the shuffle
         df = df.withColumn(HIDDEN + "r", F.rank().over(w.orderBy(rank_key(key, c)))).filter(F.col(HIDDEN + "r") <= n)
@@ -275,13 +304,11 @@ class Frame:
             if name in self._groups:
                 raise DuplicateColumnError(f"{name!r} is a group key already")
         ordinal, frame = None, self
-        if self._needs_order(made.values()):
+        if any(e.ordered() for e in made.values()):
             frame = self._with_rid()
-            ordinal = F.col(RID)
-            if self._order:
-                w = (Window.partitionBy(*map(name_of, self._groups)) if self._groups else Window.partitionBy(F.lit(1))).orderBy(*frame._order_by())
-                frame = frame._new(frame._df.withColumn(HIDDEN + "at", F.row_number().over(w)))
-                ordinal = F.col(HIDDEN + "at")
+            ordinal = frame._ordinal()
+            if ordinal is None:
+                frame, ordinal = frame._placed(), F.col(POS)
         ctx = Context(self._schema, "summary", self._groups, (), ordinal)
         schema = {g: self._schema[g] for g in self._groups}
         columns = []
@@ -388,8 +415,7 @@ class Frame:
         ids = [k for k in self._schema if k not in (key, value)]
         frame = self._with_rid()
         if self._order:
-            w = Window.partitionBy(F.lit(1)).orderBy(*frame._order_by())
-            frame = frame._new(frame._df.withColumn(RID, F.row_number().over(w).cast("bigint")))
+            frame = frame._placed()
         spread = frame._df.select(*map(name_of, ids), name_of(key).cast("string").alias(HIDDEN + "k"), name_of(value).alias(HIDDEN + "v"), RID)
         names = spread.groupBy(HIDDEN + "k").agg(F.min(RID).alias("at")).orderBy("at").limit(most + 1).collect()
         if len(names) > most:

@@ -211,6 +211,23 @@ def windows_ordered(t):
     return e.mutate(a=lag(col.value), b=lead(col.value, 2, 0.0), r=row_number(), s=cum_sum(col.value).round(3), lo=cum_min(col.value), hi=cum_max(col.value)).select("event_id", "a", "b", "r", "s", "lo", "hi")
 
 
+@query("""SELECT event_id, lag(value) OVER w AS a, lead(value, 2, 0.0) OVER w AS b, row_number() OVER w AS r, round(sum(value) OVER u, 3) AS s, min(value) OVER u AS lo, max(value) OVER u AS hi
+          FROM events WINDOW w AS (ORDER BY ts, event_id), u AS (ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""")
+def windows_whole(t):
+    e = t("events").arrange("ts", "event_id")
+    return e.mutate(a=lag(col.value), b=lead(col.value, 2, 0.0), r=row_number(), s=cum_sum(col.value).round(3), lo=cum_min(col.value), hi=cum_max(col.value)).select("event_id", "a", "b", "r", "s", "lo", "hi")
+
+
+@query("SELECT p_partkey, rank() OVER w AS r, dense_rank() OVER w AS d, round(percent_rank() OVER w, 9) AS p FROM part WINDOW w AS (ORDER BY p_retailprice DESC)")
+def ranks_whole(t):
+    return t("part").mutate(r=min_rank(desc(col.p_retailprice)), d=dense_rank(desc(col.p_retailprice)), p=percent_rank(desc(col.p_retailprice)).round(9)).select("p_partkey", "r", "d", "p")
+
+
+@query("SELECT p_partkey, p_retailprice FROM (SELECT *, rank() OVER (ORDER BY p_retailprice DESC) AS r FROM part) WHERE r <= 10")
+def slice_max_whole(t):
+    return t("part").slice_max(col.p_retailprice, n=10).select("p_partkey", "p_retailprice")
+
+
 @query("""SELECT CAST(p_size AS BIGINT) AS p_size, p_partkey, rank() OVER w AS r, dense_rank() OVER w AS d, round(percent_rank() OVER w, 9) AS p FROM part
           WINDOW w AS (PARTITION BY p_size ORDER BY p_retailprice) QUALIFY count(*) OVER (PARTITION BY p_size) > 1""")
 def windows_ranks(t):

@@ -12,6 +12,8 @@ import uuid
 import warnings
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import dtypes as D
 from ..errors import BackendError
@@ -30,8 +32,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
         base = "file://" + tempfile.mkdtemp(prefix="sedge-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/frame-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    kept = df.select(*[f"`{f.name}`" for f in df.schema.fields if not isinstance(f.dataType, T.NullType)])  # Parquet has no void
+    kept.write.parquet(path)
+    back = spark.read.schema(kept.schema).parquet(path)
+    return back.select(*[F.lit(None).alias(f.name) if isinstance(f.dataType, T.NullType) else F.col(f"`{f.name}`") for f in df.schema.fields])
 
 
 class Database:

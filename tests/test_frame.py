@@ -1,14 +1,16 @@
 """Semantics that the query comparison doesn't reach: missing values, order, errors, sources and sinks."""
 
 import math
+import re
 import warnings
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pytest
 
 import sedge
-from sedge import ColumnNotFoundError, DuplicateColumnError, ExprTypeError, GroupError, across, col, desc, if_else, lit, n, read, row_number
+from sedge import ColumnNotFoundError, DuplicateColumnError, ExprTypeError, GroupError, across, col, cum_sum, desc, if_else, lag, lit, n, read, row_number
 
 
 @pytest.fixture(scope="module")
@@ -138,3 +140,75 @@ def test_persist_and_null_condition(people):
 def test_filters_and_columns_reach_the_scan(spark):
     plan = read("/root/testdata/sf0.001/lineitem.parquet").filter(col.l_quantity > 10).select("l_orderkey").show_query()
     assert "GreaterThan(l_quantity,10.0)" in plan and "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan
+
+
+@pytest.fixture()
+def blocks(spark):
+    """Sorts leave all their partitions, so that windows cross many blocks."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield spark
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def numbers(seed: int = 3, size: int = 500) -> pd.DataFrame:
+    rng = np.random.default_rng(seed)
+    x = pd.array(rng.integers(0, 20, size), dtype="Int64")
+    x[rng.random(size) < 0.1] = pd.NA
+    return pd.DataFrame({"i": rng.permutation(size), "x": x, "s": rng.choice(list("abc"), size)})
+
+
+def test_windows_of_ungrouped_frames(blocks):
+    data = numbers()
+    f = read(pa.Table.from_pandas(data, preserve_index=False))
+    made = f.arrange("i").mutate(
+        r=row_number(), a=sedge.lag(col.x, 3), b=sedge.lead(col.x, 2, -1), s1=sedge.cum_sum(col.x), lo=sedge.cum_min(col.x), hi=sedge.cum_max(col.x),
+        m=sedge.min_rank(col.x), d=sedge.dense_rank(desc(col.x)), p=sedge.percent_rank(col.x), f=col.s.first(), l=col.s.last(), z=sedge.cum_sum(sedge.lag(col.x)),
+    ).to_pandas()
+    want = data.sort_values("i").reset_index(drop=True)
+    x = want.x.astype("Float64")
+    number = pd.Series(x.to_numpy(float, na_value=np.nan))  # for ranks, NaN where x is missing
+    same = lambda a, b: np.testing.assert_allclose(a.to_numpy(float, na_value=np.nan), b.to_numpy(float, na_value=np.nan))
+    assert made.i.tolist() == want.i.tolist() and made.r.tolist() == list(range(1, 501))
+    same(made.a, x.shift(3))
+    same(made.b, x.shift(-2).where(want.index < 498, -1))
+    same(made.s1, x.cumsum())
+    same(made.lo, x.cummin())
+    same(made.hi, x.cummax())
+    same(made.m, number.rank(method="min"))
+    same(made.d, number.rank(method="dense", ascending=False))
+    same(made.p, (number.rank(method="min") - 1) / (number.count() - 1))
+    same(made.z, x.shift(1).cumsum())
+    assert set(made.f) == {want.s.iloc[0]} and set(made.l) == {want.s.iloc[-1]}
+
+
+def test_windows_of_empty_and_unarranged_frames(blocks):
+    f = read({"x": [3, 1, 2], "v": [None, None, None]})
+    assert f.mutate(a=lag(col.x), c=cum_sum(col.x)).collect().to_pydict() == {"x": [3, 1, 2], "v": [None] * 3, "a": [None, 3, 1], "c": [3, 4, 6]}
+    assert f.filter(col.x > 9).mutate(a=lag(col.x), r=row_number(), m=sedge.min_rank(col.x)).pull("r") == []
+    assert f.filter(row_number() == 2).pull("x") == [1] and f.arrange(desc(lag(col.x))).pull("x") == [1, 2, 3]
+
+
+def test_extremes_with_ties_of_ungrouped_frames(blocks):
+    data = numbers()
+    f = read(pa.Table.from_pandas(data, preserve_index=False))
+    for n_rows in (0, 1, 30, 499):
+        least = data.x.dropna().sort_values()
+        want = data[data.x.notna() & (data.x <= least.iloc[: max(1, n_rows)].max())] if n_rows else data[:0]
+        assert sorted(f.slice_min("x", n=n_rows).pull("i")) == sorted(want.i)
+    assert set(f.slice_max("x").pull("x")) == {data.x.max()}
+
+
+@pytest.mark.parametrize("keys", [("x", "i"), (desc(col.x), "i"), (desc(col.s), "i"), (desc(col.y), desc(col.i))])
+def test_first_and_last_of_summaries(blocks, keys):
+    f = read(pa.Table.from_pandas(numbers(), preserve_index=False)).mutate(y=if_else(col.x == 3, float("nan"), col.x / 2)).arrange(*keys)
+    rows = f.collect().to_pylist()
+    assert f.summarize(a=col.i.first(), b=col.i.last()).collect().to_pylist() == [{"a": rows[0]["i"], "b": rows[-1]["i"]}]
+    got = f.group_by("s").summarize(a=col.i.first(), b=col.i.last()).collect().to_pylist()
+    assert got == [{"s": s, "a": (own := [r["i"] for r in rows if r["s"] == s])[0], "b": own[-1]} for s in "abc"]
+
+
+def test_no_task_sorts_or_holds_all_rows(blocks):
+    f = read("/root/testdata/sf0.001/lineitem.parquet").arrange("l_shipdate", "l_orderkey", "l_linenumber")
+    plan = f.mutate(c=cum_sum(col.l_quantity), a=lag(col.l_tax)).show_query()
+    for step in re.findall(r"Exchange\nInput \[\d+\]: \[([^\]]*)\]\nArguments: SinglePartition", plan):
+        assert "l_" not in step
