@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -62,13 +62,17 @@ def unify(a: DType, b: DType, where: str = "") -> DType:
     raise ExprTypeError(f"{a} and {b} don't go together{' in ' + where if where else ''}")
 
 
+def name_of(column: str) -> Column:
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def normalised(df: DataFrame) -> DataFrame:
     """df with every column cast to one of the six types; only what differs is cast, so scans keep their pushed filters."""
     same = True
     columns = []
     for f in df.schema.fields:
         want = of_spark(f.dataType, f.name)
-        column = F.col("`" + f.name.replace("`", "``") + "`")
+        column = name_of(f.name)
         if f.dataType.simpleString() != want.spark and want != Null:
             column, same = column.cast(want.spark).alias(f.name), False
         columns.append(column)

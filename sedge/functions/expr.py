@@ -5,20 +5,17 @@ from __future__ import annotations
 import operator
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from .. import dtypes as D
+from ..dtypes import name_of
 from ..errors import ColumnNotFoundError, ExprTypeError
 from ..operators import places
 
 
-def name_of(column: str) -> Column:
-    return F.col("`" + column.replace("`", "``") + "`")
-
-
 @dataclass
 class Context:
     """Where an expression is used: `row` (mutate, filter, arrange keys) or `summary`."""
@@ -28,12 +25,13 @@ class Context:
     groups: tuple[str, ...] = ()
     order: tuple[Column, ...] = ()
     ordinal: Column | None = None  # in summaries: the place of a row in the current order
-    scalars: list[Column] = field(default_factory=list)  # aggregates over the whole frame, joined as one row
+    scalars: list[Column] = field(default_factory=list)  # aggregates of each row's group, or of all rows, joined to the rows
     inside: str = ""  # "agg" or "window" while an argument is built
-    steps: list[Callable] = field(default_factory=list)  # windows of an ungrouped frame, each a column made by joins
+    steps: list[Callable] = field(default_factory=list)  # windows by blocks, each a column made by joins
+    blocks: bool = True  # whether windows go by blocks: over whole frames, and over groups too large for one task
 
     def within(self, what: str) -> Context:
-        return Context(self.schema, self.mode, self.groups, self.order, self.ordinal, self.scalars, what, self.steps)
+        return replace(self, inside=what)
 
     @property
     def partition(self):
@@ -333,28 +331,23 @@ def _agg(name: str, e: Expr | None, na_rm: bool) -> Expr:
         if name in ("first", "last"):
             if ctx.mode == "summary":
                 return (F.min_by if name == "first" else F.max_by)(c, ctx.ordinal), t
-            if not ctx.groups:
+            if ctx.blocks:
                 return _scalar(ctx, (F.min_by if name == "first" else F.max_by)(c, F.col(places.POS))), t
             frame = ctx.ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
             return (F.first if name == "first" else F.last)(c).over(frame), t
         if name == "n_unique":
             has_null = F.coalesce(F.max(F.when(c.isNull(), 1).otherwise(0)), F.lit(0))
-            if ctx.mode == "summary" or not ctx.groups:
-                return _placed(ctx, (F.count_distinct(c) + has_null).cast("bigint")), D.Int64
-            return (F.size(F.collect_set(c).over(ctx.partition)) + has_null.over(ctx.partition)).cast("bigint"), D.Int64
+            return _placed(ctx, (F.count_distinct(c) + has_null).cast("bigint")), D.Int64
         made = {"mean": F.avg, "median": F.median, "sum": F.sum, "min": F.min, "max": F.max, "std": F.stddev_samp, "var": F.var_samp}[name](x)
         kind = {"min": t, "max": t, "sum": D.Float64 if t == D.Float64 else D.Int64}.get(name, D.Float64)
-        place = lambda a: a if ctx.mode == "summary" else a if not ctx.groups else a.over(ctx.partition)
-        out = place(made)
+        out = made
         if name not in ("min", "max") and kind != D.Null:
             out = out.cast(kind.spark)
         if name == "sum":
             out = F.coalesce(out, F.lit(0).cast(kind.spark))
         if not na_rm:
-            out = F.when(place(F.count(F.lit(1))) == place(F.count(c)), out)
-        if ctx.mode != "summary" and not ctx.groups:
-            out = _scalar(ctx, out)
-        return out, kind
+            out = F.when(F.count(F.lit(1)) == F.count(c), out)
+        return _placed(ctx, out), kind
 
     return Expr(build, f"{e}.{name}()" if e is not None else "n()", () if e is None else (e,), "agg", name)
 
@@ -365,16 +358,14 @@ def _scalar(ctx: Context, made: Column) -> Column:
 
 
 def _step(ctx: Context, make, *args) -> Column:
-    """The column that make(df, its name, *args) adds to the frame."""
+    """The column that make(df, its name, the group keys, *args) adds to the frame."""
     name = f"__sedge_w{len(ctx.steps)}"
-    ctx.steps.append(lambda df: make(df, name, *args))
+    ctx.steps.append(lambda df: make(df, name, ctx.groups, *args))
     return F.col(name)
 
 
 def _placed(ctx: Context, made: Column) -> Column:
-    if ctx.mode == "summary":
-        return made
-    return made.over(ctx.partition) if ctx.groups else _scalar(ctx, made)
+    return made if ctx.mode == "summary" else _scalar(ctx, made)
 
 
 def n() -> Expr:
@@ -400,7 +391,7 @@ def _shift(name: str, function, e, k: int, default) -> Expr:
     def make(ctx, c, t):
         d, dt = default.build(ctx)
         out = D.unify(t, dt, name)
-        if not ctx.groups:
+        if ctx.blocks:
             return _step(ctx, places.shifted, _to(c, out), k if name == "lag" else -k, None if dt == D.Null else _to(d, out)), out
         place = F.row_number().over(ctx.ordered)
         moved = function(_to(c, out), k).over(ctx.ordered)
@@ -422,7 +413,7 @@ def lead(e, n: int = 1, default=None) -> Expr:
 
 
 def row_number() -> Expr:
-    return _window("row_number", None, lambda ctx, c, t: (F.row_number().over(ctx.ordered).cast("bigint") if ctx.groups else F.col(places.POS), D.Int64))
+    return _window("row_number", None, lambda ctx, c, t: (F.col(places.POS) if ctx.blocks else F.row_number().over(ctx.ordered).cast("bigint"), D.Int64))
 
 
 def desc(e) -> Expr:
@@ -440,12 +431,12 @@ def _rank(name: str, function, e) -> Expr:
     e = wrap(e)
 
     def make(ctx, c, t):
-        if ctx.groups:
-            place = function().over(ctx.partition.orderBy(rank_key(e, c)))
-        else:
+        if ctx.blocks:
             place = _step(ctx, places.ranked, c, e._kind == "desc", name == "dense_rank")
+        else:
+            place = function().over(ctx.partition.orderBy(rank_key(e, c)))
         if name == "percent_rank":
-            full = F.count(c).over(ctx.partition) if ctx.groups else _step(ctx, places.counted, c)
+            full = _step(ctx, places.counted, c) if ctx.blocks else F.count(c).over(ctx.partition)
             return F.when(c.isNotNull(), _divide(place - 1, full - 1)), D.Float64
         return F.when(c.isNotNull(), place.cast("bigint")), D.Int64
 
@@ -470,7 +461,7 @@ def _cumulative(name: str, function, e) -> Expr:
             raise ExprTypeError(f"cum_sum needs numbers, not {t}")
         kind = D.Int64 if t == D.Bool and name == "cum_sum" else t
         x = c.cast(kind.spark) if kind != t else c
-        if not ctx.groups:
+        if ctx.blocks:
             join = {"cum_sum": operator.add, "cum_min": F.least, "cum_max": F.greatest}[name]
             return _step(ctx, places.running, x, function, join), kind
         frame = ctx.ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -3,22 +3,28 @@
 The order of rows is kept as hidden columns and applied only where it shows: on collecting, in heads
 and tails, in ordered windows and ordered sinks. Nothing runs before that, but for verbs that need
 the places of all rows (windows and samples of ungrouped frames, pivot_wider): they sort and write at once.
+Windows of grouped frames count their groups at once, and do the same if a group is too large for one task.
 """
 
 from __future__ import annotations
 
 import random
 import warnings
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dtypes as D
+from ..dtypes import name_of
 from ..errors import BackendError, ColumnNotFoundError, DuplicateColumnError, ExprTypeError, GroupError
-from ..functions.expr import Context, Expr, desc, min_rank, n, name_of, rank_key, wrap
-from .places import HIDDEN, POS, RID, place
+from ..functions.expr import Context, Expr, desc, n, rank_key, wrap
+from .places import HIDDEN, POS, RID, beside, place
 from .select import Across, plain_name, resolve
 
+#: Rows that one task may sort for an ordered window. Beyond it, all groups of the frame go by blocks; results are the same.
+LARGEST_GROUP = 1_000_000
+
 
 class _Names:
     """df.c.x: columns of this frame only."""
@@ -79,8 +85,13 @@ class Frame:
         return self if RID in self._df.columns else self._new(self._df.withColumn(RID, F.monotonically_increasing_id()))
 
     def _placed(self) -> Frame:
-        """This frame with its rows' positions; it is sorted and written for that, and its order is then that of the row ids."""
+        """This frame with its rows' positions in their groups; it is sorted and written for that.
+
+        Without groups its order is then that of the row ids.
+        """
         frame = self._with_rid()
+        if self._groups:
+            return frame._new(place(frame._df, frame._order_by(), self._groups))
         return frame._new(place(frame._df, frame._order_by()).drop(*[o for o, _ in self._order]), order=())
 
     def _ordinal(self) -> Column | None:
@@ -113,20 +124,28 @@ class Frame:
     def _resolve(self, value) -> Expr:
         return wrap(value(self.c) if callable(value) and not isinstance(value, Expr) else value)
 
-    def _row_context(self) -> Context:
-        return Context(self._schema, "row", self._groups, tuple(self._order_by()))
+    def _by_blocks(self) -> bool:
+        """Whether windows go by blocks: over the whole frame, and where the largest group is too large for one task."""
+        if not self._groups:
+            return True
+        sizes = self._df.groupBy(*map(name_of, self._groups)).agg(F.count(F.lit(1)).alias(HIDDEN + "n"))
+        return (sizes.agg(F.max(HIDDEN + "n")).first()[0] or 0) > LARGEST_GROUP
 
     def _built(self, exprs: list[Expr]) -> tuple[Frame, list[tuple[Column, D.DType]]]:
-        """Row-wise columns of the expressions over this frame; aggregates of an ungrouped frame come as one joined row."""
+        """Row-wise columns of the expressions over this frame; aggregates are joined to the rows."""
         ordered = any(e.ordered() for e in exprs)
         frame = self._with_rid() if ordered else self
-        ctx = frame._row_context()
+        order, context = tuple(frame._order_by()), partial(Context, self._schema, "row", self._groups)
+        for e in exprs:
+            e.build(context(order))  # mistakes show before anything runs
+        windows = ordered or any(e.has("window") for e in exprs)
+        ctx = context(order, blocks=frame._by_blocks() if windows else not self._groups)
         out = [e.build(ctx) for e in exprs]
-        if ordered and not self._groups:
+        if ordered and ctx.blocks:
             frame = frame._placed()
         if ctx.scalars:
-            one = frame._df.agg(*[c.alias(f"{HIDDEN}s{i}") for i, c in enumerate(ctx.scalars)])
-            frame = frame._new(frame._df.crossJoin(F.broadcast(one)))
+            made = [c.alias(f"{HIDDEN}s{i}") for i, c in enumerate(ctx.scalars)]
+            frame = frame._new(beside(frame._df, self._groups, made))
         for step in ctx.steps:
             frame = frame._new(step(frame._df))
         return frame, out

@@ -1,73 +1,105 @@
-"""Ordered windows over a whole frame, without one task that holds all rows.
+"""Ordered windows over a whole frame or over large groups, without one task that holds all their rows.
 
-A sort deals the rows to blocks by ranges of their order. What a row needs of the blocks before its
-own is one row for each block, so only as many rows as the sort has partitions are added up in one place.
+A sort deals the rows to blocks by ranges of their groups and order, so a group may span many blocks and
+a block hold many groups. What a row needs of the blocks before its own is one row for each block of its
+group, so only as many rows as the sort has partitions are added up in one place.
 """
 
 from __future__ import annotations
 
 import operator
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..dtypes import name_of
+
 HIDDEN = "__sedge_"
 RID, BLOCK, POS = HIDDEN + "rid", HIDDEN + "block", HIDDEN + "pos"
+GROUP = HIDDEN + "group"  # the sorted id of the group's first row: never null, unlike the keys
 INDEX_BITS = 33  # monotonically_increasing_id() is the partition, then this many bits of the row's index in it
 
 
-def place(df: DataFrame, order: list[Column]) -> DataFrame:
-    """df with RID in the given order, the block of each row and its position from 1.
+def _aside(keys: Sequence[str], mark: str) -> dict[str, str]:
+    """Hidden names for the keys on the other side of a join."""
+    return {k: f"{HIDDEN}{mark}{i}" for i, k in enumerate(keys)}
 
-    The sorted rows are written to the shared folder: a sort samples its ranges, and one that ran
-    twice could deal the rows otherwise.
-    """
-    from ..sources.io import checkpointed
 
-    df = checkpointed(df.orderBy(*order).withColumn(RID, F.monotonically_increasing_id()))
-    df = df.withColumn(BLOCK, F.shiftright(RID, INDEX_BITS))
-    sizes = df.groupBy(BLOCK).agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1))
-    offsets = sizes.select(BLOCK, F.coalesce(before, F.lit(0)).alias(HIDDEN + "offset"))
-    index = F.col(RID).bitwiseAND(F.lit((1 << INDEX_BITS) - 1))
-    return df.join(F.broadcast(offsets), BLOCK).withColumn(POS, F.col(HIDDEN + "offset") + index + 1).drop(HIDDEN + "offset")
+def _same(other: dict[str, str]) -> list[Column]:
+    return [name_of(k).eqNullSafe(F.col(h)) for k, h in other.items()]
+
+
+def _bounded(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row for each block may be broadcast; with groups there may be many more, and Spark chooses by their size."""
+    return df if keys else F.broadcast(df)
+
 
+def beside(df: DataFrame, keys: Sequence[str], aggregates: list[Column]) -> DataFrame:
+    """df with the aggregates of each row's group beside it: they are partly added up before any shuffle, then joined."""
+    if not keys:
+        return df.crossJoin(F.broadcast(df.agg(*aggregates)))
+    there = _aside(keys, "g")
+    made = df.groupBy(*[name_of(k).alias(h) for k, h in there.items()]).agg(*aggregates)
+    return df.join(made, _same(there)).drop(*there.values())
+
+
+def place(df: DataFrame, order: list[Column], keys: Sequence[str] = ()) -> DataFrame:
+    """df with the group and block of each row and its position in the group, from 1, in the given order.
+
+    Without keys RID follows that order, too. The sorted rows are written to the shared folder: a sort samples
+    its ranges, and one that ran twice could deal the rows otherwise.
+    """
+    from ..sources.io import checkpointed
 
-def running(df: DataFrame, name: str, x: Column, total: Callable[[Column], Column], join: Callable[[Column, Column], Column]) -> DataFrame:
-    """A column of the running total of x up to each row: that of its block joined to that of the blocks before."""
+    row, offset, there = HIDDEN + "row" if keys else RID, HIDDEN + "offset", _aside(keys, "g")
+    df = checkpointed(df.orderBy(*map(name_of, keys), *order).withColumn(row, F.monotonically_increasing_id()))
+    df = df.withColumn(BLOCK, F.shiftright(row, INDEX_BITS))
+    index = lambda c: F.col(c).bitwiseAND(F.lit((1 << INDEX_BITS) - 1))
+    pieces = df.groupBy(F.col(BLOCK).alias("block"), *[name_of(k).alias(h) for k, h in there.items()])
+    pieces = pieces.agg(F.count(F.lit(1)).alias("n"), F.min(row).alias("head"))
+    own = Window.partitionBy(*there.values())
+    before = F.coalesce(F.sum("n").over(own.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    pieces = pieces.select("block", *there.values(), F.min("head").over(own).alias(GROUP), (before - index("head")).alias(offset))
+    df = df.join(_bounded(pieces, keys), [F.col(BLOCK) == F.col("block"), *_same(there)])
+    return df.withColumn(POS, F.col(offset) + index(row) + 1).drop(offset, "block", *there.values())
+
+
+def running(df: DataFrame, name: str, keys: Sequence[str], x: Column, total: Callable[[Column], Column], join: Callable[[Column, Column], Column]) -> DataFrame:
+    """A column of the running total of x up to each row: that of its block joined to that of the group's blocks before."""
     df = df.withColumn(name, x)
-    blocks = df.groupBy(BLOCK).agg(total(F.col(name)).alias("whole"))
-    before = total(F.col("whole")).over(Window.orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1))
+    blocks = df.groupBy(GROUP, BLOCK).agg(total(F.col(name)).alias("whole"))
+    before = total(F.col("whole")).over(Window.partitionBy(GROUP).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1))
     carry = name + "_carry"
-    df = df.join(F.broadcast(blocks.select(BLOCK, before.alias(carry))), BLOCK)
-    own = total(F.col(name)).over(Window.partitionBy(BLOCK).orderBy(POS).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    df = df.join(_bounded(blocks.select(GROUP, BLOCK, before.alias(carry)), keys), [GROUP, BLOCK])
+    own = total(F.col(name)).over(Window.partitionBy(GROUP, BLOCK).orderBy(POS).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     return df.withColumn(name, F.when(F.col(name).isNotNull(), F.when(F.col(carry).isNull(), own).otherwise(join(own, F.col(carry))))).drop(carry)
 
 
-def shifted(df: DataFrame, name: str, x: Column, k: int, default: Column | None) -> DataFrame:
-    """A column of x, k rows before each row (after it, if k is negative), or the default where there is none: a join by position."""
+def shifted(df: DataFrame, name: str, keys: Sequence[str], x: Column, k: int, default: Column | None) -> DataFrame:
+    """A column of x, k rows before each row of its group (after it, if k is negative), or the default where there is none: a join by position."""
     df = df.withColumn(name, x)
     there = name + "_there"
-    other = df.select((F.col(POS) + k).alias(POS), F.col(name).alias(name + "_x"), F.lit(True).alias(there))
+    other = df.select(GROUP, (F.col(POS) + k).alias(POS), F.col(name).alias(name + "_x"), F.lit(True).alias(there))
     moved = F.col(name + "_x") if default is None else F.when(F.col(there), F.col(name + "_x")).otherwise(default)
-    return df.join(other, POS, "left").withColumn(name, moved).drop(name + "_x", there)
+    return df.join(other, [GROUP, POS], "left").withColumn(name, moved).drop(name + "_x", there)
 
 
-def counted(df: DataFrame, name: str, x: Column) -> DataFrame:
-    """A column of the number of rows of the frame whose x isn't null: one joined row."""
-    return df.crossJoin(F.broadcast(df.agg(F.count(x).alias(name))))
+def counted(df: DataFrame, name: str, keys: Sequence[str], x: Column) -> DataFrame:
+    """A column of the number of rows of the group whose x isn't null."""
+    return beside(df, keys, [F.count(x).alias(name)])
 
 
-def ranked(df: DataFrame, name: str, x: Column, down: bool, dense: bool) -> DataFrame:
-    """A column of the rank of x among all rows, null for null: the distinct values are counted, placed and joined back."""
+def ranked(df: DataFrame, name: str, keys: Sequence[str], x: Column, down: bool, dense: bool) -> DataFrame:
+    """A column of the rank of x among the rows of its group, null for null: the distinct values are counted, placed and joined back."""
     df = df.withColumn(name, x)
-    value = name + "_v"
-    values = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias(value)).agg(F.count(F.lit(1)).alias(HIDDEN + "k"))
-    values = place(values, [F.desc(value) if down else F.asc(value)])
+    value, rank, there = name + "_v", name + "_r", _aside(keys, "k")
+    values = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias(value), *[name_of(k).alias(h) for k, h in there.items()])
+    values = place(values.agg(F.count(F.lit(1)).alias(HIDDEN + "k")), [F.desc(value) if down else F.asc(value)], tuple(there.values()))
     if dense:
-        values = values.select(value, F.col(POS).alias(name + "_r"))
+        values = values.withColumn(rank, F.col(POS))
     else:
-        values = running(values, HIDDEN + "upto", F.col(HIDDEN + "k"), F.sum, operator.add)
-        values = values.select(value, (F.col(HIDDEN + "upto") - F.col(HIDDEN + "k") + 1).alias(name + "_r"))
-    return df.join(values, F.col(name) == F.col(value), "left").withColumn(name, F.col(name + "_r")).drop(value, name + "_r")
+        values = running(values, HIDDEN + "upto", keys, F.col(HIDDEN + "k"), F.sum, operator.add)
+        values = values.withColumn(rank, F.col(HIDDEN + "upto") - F.col(HIDDEN + "k") + 1)
+    values = values.select(value, rank, *there.values())
+    return df.join(values, [F.col(name) == F.col(value), *_same(there)], "left").withColumn(name, F.col(rank)).drop(value, rank, *there.values())

@@ -212,3 +212,37 @@ def test_no_task_sorts_or_holds_all_rows(blocks):
     plan = f.mutate(c=cum_sum(col.l_quantity), a=lag(col.l_tax)).show_query()
     for step in re.findall(r"Exchange\nInput \[\d+\]: \[([^\]]*)\]\nArguments: SinglePartition", plan):
         assert "l_" not in step
+
+
+def test_large_groups_go_by_blocks_with_the_same_results(blocks, monkeypatch):
+    data = numbers()
+    data["g"] = np.where(np.random.default_rng(5).random(500) < 0.6, None, data.s)  # more than half of all rows share the missing key
+    f = read(pa.Table.from_pandas(data, preserve_index=False)).arrange("i").group_by("g", "s")
+
+    def made():
+        out = f.mutate(
+            r=row_number(), a=sedge.lag(col.x, 2), b=sedge.lead(col.x, 1, -1), s1=sedge.cum_sum(col.x), lo=sedge.cum_min(col.x), hi=sedge.cum_max(col.x),
+            m=sedge.min_rank(col.x), d=sedge.dense_rank(desc(col.x)), p=sedge.percent_rank(col.x), f=col.i.first(), l=col.i.last(), z=col.x - col.x.mean(),
+        )
+        return out.ungroup().collect().to_pylist(), f.filter(row_number() < 4).ungroup().pull("i")
+
+    plain = made()
+    monkeypatch.setattr("sedge.operators.frame.LARGEST_GROUP", 10)
+    assert made() == plain
+    assert [r["i"] for r in plain[0]] == list(range(500))
+    monkeypatch.setattr("sedge.operators.frame.LARGEST_GROUP", 10**9)
+    assert made() == plain
+
+
+def test_windows_of_empty_grouped_frames(blocks, monkeypatch):
+    f = read({"g": ["a", "b"], "x": [1, 2]}).filter(col.x > 5).group_by("g")
+    for most in (-1, 10):
+        monkeypatch.setattr("sedge.operators.frame.LARGEST_GROUP", most)
+        assert f.mutate(r=row_number(), c=cum_sum(col.x), k=n(), m=sedge.min_rank(col.x)).pull("r") == []
+
+
+def test_aggregates_join_their_groups_back(people):
+    g = people.group_by("species")
+    out = g.mutate(k=n(), u=col.name.n_unique(), a=col.mass.mean(na_rm=False), med=col.height.median()).ungroup().select("name", "k", "u", "a", "med").arrange("name")
+    assert out.pull("k") == [1, 3, 3, 3, 1, 1] and out.pull("u") == [1, 3, 3, 3, 1, 1] and out.pull("med") == [228.0, 172.0, 172.0, 172.0, 96.0, 66.0]
+    assert "Window" not in g.mutate(a=col.mass - col.mass.mean()).show_query()

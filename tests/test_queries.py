@@ -32,3 +32,9 @@ def test_query(spark, duck, name):
     rel = duck.sql(registry.oracle_sql()[name])
     assert sorted(df.columns) == sorted(rel.columns)
     assert got == rows(rel.columns, rel.fetchall())
+
+
+@pytest.mark.parametrize("name", ["windows_ordered", "windows_ranks", "slice_tail_grouped", "grouped_filter_max"])
+def test_query_by_blocks(spark, duck, name, monkeypatch):
+    monkeypatch.setattr("sedge.operators.frame.LARGEST_GROUP", 0)
+    test_query(spark, duck, name)
