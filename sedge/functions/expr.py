@@ -28,7 +28,7 @@ class Context:
     scalars: list[Column] = field(default_factory=list)  # aggregates of each row's group, or of all rows, joined to the rows
     inside: str = ""  # "agg" or "window" while an argument is built
     steps: list[Callable] = field(default_factory=list)  # windows by blocks, each a column made by joins
-    blocks: bool = True  # whether windows go by blocks: over whole frames, and over groups too large for one task
+    blocks: bool = True  # whether windows go by blocks and aggregates are joined: over whole frames, and where a group may be too large for one task
 
     def within(self, what: str) -> Context:
         return replace(self, inside=what)
@@ -322,8 +322,8 @@ def _agg(name: str, e: Expr | None, na_rm: bool) -> Expr:
 
     def build(ctx: Context) -> Built:
         if e is None:
-            made, kind = F.count(F.lit(1)), D.Int64
-            return _placed(ctx, made), kind
+            made = F.count(F.lit(1))
+            return made.over(ctx.partition) if ctx.mode == "row" and not ctx.blocks else _placed(ctx, made), D.Int64
         c, t = e.build(ctx.within("agg"))
         if name in ("mean", "median", "sum", "std", "var") and t not in (D.Int64, D.Float64, D.Bool, D.Null):
             raise ExprTypeError(f"{name} needs numbers, and {e} is {t}")
@@ -340,14 +340,15 @@ def _agg(name: str, e: Expr | None, na_rm: bool) -> Expr:
             return _placed(ctx, (F.count_distinct(c) + has_null).cast("bigint")), D.Int64
         made = {"mean": F.avg, "median": F.median, "sum": F.sum, "min": F.min, "max": F.max, "std": F.stddev_samp, "var": F.var_samp}[name](x)
         kind = {"min": t, "max": t, "sum": D.Float64 if t == D.Float64 else D.Int64}.get(name, D.Float64)
-        out = made
+        place = (lambda a: a.over(ctx.partition)) if ctx.mode == "row" and not ctx.blocks else lambda a: a
+        out = place(made)
         if name not in ("min", "max") and kind != D.Null:
             out = out.cast(kind.spark)
         if name == "sum":
             out = F.coalesce(out, F.lit(0).cast(kind.spark))
         if not na_rm:
-            out = F.when(F.count(F.lit(1)) == F.count(c), out)
-        return _placed(ctx, out), kind
+            out = F.when(place(F.count(F.lit(1))) == place(F.count(c)), out)
+        return _scalar(ctx, out) if ctx.mode == "row" and ctx.blocks else out, kind
 
     return Expr(build, f"{e}.{name}()" if e is not None else "n()", () if e is None else (e,), "agg", name)
 

@@ -3,7 +3,7 @@
 The order of rows is kept as hidden columns and applied only where it shows: on collecting, in heads
 and tails, in ordered windows and ordered sinks. Nothing runs before that, but for verbs that need
 the places of all rows (windows and samples of ungrouped frames, pivot_wider): they sort and write at once.
-Windows of grouped frames count their groups at once, and do the same if a group is too large for one task.
+Windows of large grouped frames count their groups at once, and do the same if a group is too large for one task.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from .select import Across, plain_name, resolve
 
 #: Rows that one task may sort for an ordered window. Beyond it, all groups of the frame go by blocks; results are the same.
 LARGEST_GROUP = 1_000_000
+#: Bytes, as Spark estimates them, up to which a frame's groups are taken to fit into tasks without counting them.
+SMALL_FRAME = 64 << 20
 
 
 class _Names:
@@ -124,10 +126,17 @@ class Frame:
     def _resolve(self, value) -> Expr:
         return wrap(value(self.c) if callable(value) and not isinstance(value, Expr) else value)
 
-    def _by_blocks(self) -> bool:
-        """Whether windows go by blocks: over the whole frame, and where the largest group is too large for one task."""
+    def _by_blocks(self, windows: bool) -> bool:
+        """Whether windows go by blocks: over the whole frame, and where the largest group is too large for one task.
+
+        Aggregates alone need no count of the groups: those of larger frames are always joined to the rows.
+        """
         if not self._groups:
             return True
+        if int(str(self._df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_FRAME:
+            return False
+        if not windows:
+            return True
         sizes = self._df.groupBy(*map(name_of, self._groups)).agg(F.count(F.lit(1)).alias(HIDDEN + "n"))
         return (sizes.agg(F.max(HIDDEN + "n")).first()[0] or 0) > LARGEST_GROUP
 
@@ -139,7 +148,7 @@ class Frame:
         for e in exprs:
             e.build(context(order))  # mistakes show before anything runs
         windows = ordered or any(e.has("window") for e in exprs)
-        ctx = context(order, blocks=frame._by_blocks() if windows else not self._groups)
+        ctx = context(order, blocks=frame._by_blocks(windows) if windows or any(e.has("agg") for e in exprs) else True)
         out = [e.build(ctx) for e in exprs]
         if ordered and ctx.blocks:
             frame = frame._placed()

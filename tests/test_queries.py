@@ -36,5 +36,6 @@ def test_query(spark, duck, name):
 
 @pytest.mark.parametrize("name", ["windows_ordered", "windows_ranks", "slice_tail_grouped", "grouped_filter_max"])
 def test_query_by_blocks(spark, duck, name, monkeypatch):
+    monkeypatch.setattr("sedge.operators.frame.SMALL_FRAME", -1)
     monkeypatch.setattr("sedge.operators.frame.LARGEST_GROUP", 0)
     test_query(spark, duck, name)
