@@ -42,6 +42,20 @@ def need(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores as keep it apart from those of the columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def map_texts(docs: DataFrame, function) -> DataFrame:
+    """docs with function over its pandas batches, which keep their columns: `text`, and the others whatever their names."""
+    plain = docs.toDF(*[c if c == "text" else f"column_{i}" for i, c in enumerate(docs.columns)])
+    return plain.mapInPandas(function, plain.schema).toDF(*docs.columns)
+
+
 def held_out(doc_id: Column) -> Column:
     """True for the quarter of the documents whose labels nothing may learn from."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import RecentCache, materialise, need
+from .common import RecentCache, materialise, need, unused
 
 HALVES, STARS = 10, 2
 #: Classes in shared buckets up to which their names are broadcast to the scan for their texts (16 bytes each).
@@ -331,12 +331,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, halves:
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs without the rows whose component has a smaller doc_id, and without repeats of a doc_id.
 
-    All columns stay. Rows with a null doc_id stay.
+    All columns stay, whatever their names. Rows with a null doc_id stay; an empty table gives an empty result.
     """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    kept_id, repeats = unused("kept_id", docs.columns), unused("rows_of_id", docs.columns)
     verdict = near_duplicates(docs, words, percent).where("doc_id is not null")
-    verdict = verdict.groupBy("doc_id").agg(F.min("component_id").alias("component"), F.count("*").alias("rows_of_id"))
-    keep = verdict.where("doc_id = component").select(F.col("doc_id").alias("kept_id"), "rows_of_id").hint("shuffle_hash")
-    joined = docs.join(keep, F.col("doc_id") == F.col("kept_id"))
-    once = joined.where("rows_of_id = 1").select(*docs.columns)
-    repeated = joined.where("rows_of_id > 1").select(*docs.columns).dropDuplicates(["doc_id"])
+    verdict = verdict.groupBy("doc_id").agg(F.min("component_id").alias("component"), F.count("*").alias(repeats))
+    keep = verdict.where("doc_id = component").select(F.col("doc_id").alias(kept_id), repeats).hint("shuffle_hash")
+    joined = docs.join(keep, F.col("doc_id") == F.col(kept_id))
+    once = joined.where(F.col(repeats) == 1).select(*columns)
+    repeated = joined.where(F.col(repeats) > 1).select(*columns).dropDuplicates(["doc_id"])
     return once.unionByName(repeated).unionByName(docs.where("doc_id is null"))

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import need, sha256_hex
+from .common import map_texts, need, sha256_hex
 
 #: In the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "pem")
@@ -148,7 +148,7 @@ def mask_secrets(docs: DataFrame) -> DataFrame:
 
     n_chars, where there is such a column, follows the text.
     """
-    out = docs.mapInPandas(_masked, docs.schema)
+    out = map_texts(docs, _masked)
     if "n_chars" in docs.columns:
         size = F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
         out = out.withColumn("n_chars", size)
