@@ -250,3 +250,21 @@ def test_aggregates_of_groups_beside_their_rows(people, monkeypatch, small):
     out = g.mutate(k=n(), u=col.name.n_unique(), a=col.mass.mean(na_rm=False), med=col.height.median()).ungroup().select("name", "k", "u", "a", "med").arrange("name")
     assert out.pull("k") == [1, 3, 3, 3, 1, 1] and out.pull("u") == [1, 3, 3, 3, 1, 1] and out.pull("med") == [228.0, 172.0, 172.0, 172.0, 96.0, 66.0]
     assert ("Window" in g.mutate(a=col.mass - col.mass.mean()).show_query()) == (small > 0)
+
+
+def test_display_options(people, monkeypatch):
+    monkeypatch.setattr(sedge.options, "preview_rows", 2)
+    assert "Leia" in repr(people) and "Han" not in repr(people) and "..." in repr(people) and "<table" in people._repr_html_()
+    assert "Leia" not in repr(people.lazy().filter(col.height > 1)) and "<table" not in people.lazy()._repr_html_()
+    monkeypatch.setattr(sedge.options, "interactive", False)
+    assert "Leia" not in repr(people) and "Leia" in repr(people.eager().filter(col.height > 1))
+    assert "&lt;Int64&gt;" in people._repr_html_()
+
+
+def test_writers_by_name(people, tmp_path):
+    for kind, suffix in (("parquet", "parquet"), ("csv", "csv"), ("ipc", "arrow")):
+        getattr(people, f"write_{kind}")(str(tmp_path / f"{kind}.{suffix}"))
+        assert read(str(tmp_path / f"{kind}.{suffix}")).pull("name") == people.pull("name")
+    people.write_duckdb(str(tmp_path / "d.duckdb"), "people")
+    with pytest.warns(UserWarning):
+        assert read(str(tmp_path / "d.duckdb"), "people").pull("height") == people.pull("height")
