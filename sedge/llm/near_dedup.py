@@ -299,6 +299,24 @@ class _Groups:
         return self.labels
 
 
+def _verdicts(docs: DataFrame, words: int, percent: int, halves: int) -> DataFrame:
+    """doc_id, n_shingles, c1, c2, grp, least of each row: its class, the component's own number (a doc_id may be in several) and its smallest doc_id."""
+    texts = need(docs, "doc_id", "text")
+    sketches = materialise(texts.mapInPandas(_sketch(words, halves), "doc_id long, n_shingles long, c1 long, c2 long, halves array<long>"))
+    named = sketches.where(F.col("doc_id").isNotNull() & F.col("c1").isNotNull())
+    # the smallest doc_id stands for its class; equal sets have equal half keys
+    classes = named.groupBy("c1", "c2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("halves").alias("halves"), F.count("*").alias("n_docs"))
+    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()))
+    labels = _Groups(texts, classes, words, percent, halves).run()
+    of_class = classes.select("c1", "c2", "node", F.col("doc_id").alias("least"), F.col("node").alias("grp"))
+    if labels is not None:
+        smallest = of_class.join(labels, "node").groupBy("component").agg(F.min("least").alias("smallest"))
+        of_node = labels.join(smallest, "component").select("node", "component", "smallest")
+        of_class = of_class.join(of_node, "node", "left").withColumns({"least": F.coalesce("smallest", "least"), "grp": F.coalesce("component", "grp")})
+    rows = sketches.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("c1")).alias("c1"), "c2")
+    return rows.join(of_class.select("c1", "c2", "grp", "least"), ["c1", "c2"], "left")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, halves: int = HALVES) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text).
 
@@ -310,35 +328,44 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, halves:
     result; rows that share a doc_id but not their text are linked by their texts, not by the
     doc_id. An empty table gives an empty result; extra columns are not read.
     """
-    texts = need(docs, "doc_id", "text")
-    sketches = materialise(texts.mapInPandas(_sketch(words, halves), "doc_id long, n_shingles long, c1 long, c2 long, halves array<long>"))
-    named = sketches.where(F.col("doc_id").isNotNull() & F.col("c1").isNotNull())
-    # the smallest doc_id stands for its class; equal sets have equal half keys
-    classes = named.groupBy("c1", "c2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("halves").alias("halves"), F.count("*").alias("n_docs"))
-    classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()))
-    labels = _Groups(texts, classes, words, percent, halves).run()
-    of_class = classes.select("c1", "c2", "node", F.col("doc_id").alias("least"))
-    if labels is not None:
-        smallest = of_class.join(labels, "node").groupBy("component").agg(F.min("least").alias("smallest"))
-        of_node = labels.join(smallest, "component").select("node", "smallest")
-        of_class = of_class.join(of_node, "node", "left").withColumn("least", F.coalesce("smallest", "least"))
-    rows = sketches.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("c1")).alias("c1"), "c2")
-    out = rows.join(of_class.select("c1", "c2", "least"), ["c1", "c2"], "left")
+    out = _verdicts(docs, words, percent, halves)
     component = F.coalesce("least", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def _class_of(words: int):
+    """The class of a text, c1 and c2, as _sketch gives it; nulls for texts without shingles."""
+
+    @F.pandas_udf("c1 long, c2 long")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        shingler = Shingler(words)
+        sets = [shingler(t) for t in texts]
+        rows = [np.frombuffer(xxhash.xxh128_digest(s.tobytes()), np.int64).tolist() if len(s) else (None, None) for s in sets]
+        return pd.DataFrame(rows, columns=["c1", "c2"], dtype=object)
+
+    return run
+
+
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows whose component has a smaller doc_id, and without repeats of a doc_id.
+    """docs without the rows whose component has a smaller doc_id, and with one row of those that a component has of its smallest.
 
-    All columns stay, whatever their names. Rows with a null doc_id stay; an empty table gives an empty result.
+    Rows that share a doc_id are judged each by its own text; a text without shingles is linked with
+    nothing and stays once for each doc_id. All columns stay, whatever their names. Rows with a null
+    doc_id stay; an empty table gives an empty result.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    kept_id, repeats = unused("kept_id", docs.columns), unused("rows_of_id", docs.columns)
-    verdict = near_duplicates(docs, words, percent).where("doc_id is not null")
-    verdict = verdict.groupBy("doc_id").agg(F.min("component_id").alias("component"), F.count("*").alias(repeats))
-    keep = verdict.where("doc_id = component").select(F.col("doc_id").alias(kept_id), repeats).hint("shuffle_hash")
+    kept_id, repeats, own, c1, c2, x, y, grp = (unused(n, docs.columns) for n in ("kept_id", "rows_of_id", "own_class", "class_1", "class_2", "verdict_1", "verdict_2", "group_of_class"))
+    verdict = _verdicts(docs, words, percent, HALVES).where("doc_id is not null").withColumn("stays", F.col("doc_id") == F.coalesce("least", "doc_id"))
+    ids = verdict.groupBy("doc_id").agg(F.max("stays").alias("stays"), F.count("*").alias(repeats)).where("stays")
+    keep = ids.select(F.col("doc_id").alias(kept_id), repeats).hint("shuffle_hash")
     joined = docs.join(keep, F.col("doc_id") == F.col(kept_id))
     once = joined.where(F.col(repeats) == 1).select(*columns)
-    repeated = joined.where(F.col(repeats) > 1).select(*columns).dropDuplicates(["doc_id"])
+    # of ids with several rows each text has its own verdict
+    repeated = joined.where(F.col(repeats) > 1).select(*columns).withColumn(own, _class_of(words)(F.col("text")))
+    repeated = repeated.select(*columns, F.col(f"{own}.c1").alias(c1), F.col(f"{own}.c2").alias(c2), F.when(F.col(f"{own}.c1").isNull(), F.col("text")).alias(own))
+    repeated = repeated.dropDuplicates(["doc_id", c1, c2, own])
+    several = ids.where(F.col(repeats) > 1).select("doc_id")
+    stays = verdict.where("stays").join(several, "doc_id", "left_semi").select("doc_id", "c1", "c2", "grp").distinct().toDF(kept_id, x, y, grp)
+    same = (F.col("doc_id") == F.col(kept_id)) & F.col(c1).eqNullSafe(F.col(x)) & F.col(c2).eqNullSafe(F.col(y))
+    repeated = repeated.join(stays, same).dropDuplicates(["doc_id", grp, own]).select(*columns)
     return once.unionByName(repeated).unionByName(docs.where("doc_id is null"))
