@@ -32,7 +32,8 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 GITHUB = re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 NPM = re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]{16,}")
-PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----([A-Za-z0-9+/=\s]{64,}?)-----END \1-----")
+PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----((?>\s*+(?:[ \t]*+[A-Za-z][A-Za-z0-9-]*+:(?:(?!-----)[^\n])*+\n)+)?)([A-Za-z0-9+/=\s]{64,}?)-----END \1-----")
+OPENSSH = b"openssh-key-v1\0"
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
@@ -58,11 +59,39 @@ def _jwt_fits(m: re.Match) -> bool:
     return isinstance(head, dict) and "alg" in head
 
 
+def _openssh_fits(data: bytes) -> bool:
+    """Whether the lengths of an OpenSSH key's fields add up: cipher, kdf and its options, public keys, private keys, and a tag of some ciphers."""
+    at = len(OPENSSH)
+
+    def number() -> int:
+        nonlocal at
+        if at + 4 > len(data):
+            raise ValueError
+        at += 4
+        return int.from_bytes(data[at - 4 : at], "big")
+
+    def field() -> int:
+        nonlocal at
+        n = number()
+        at += n
+        return n
+
+    try:
+        cipher, kdf, _, keys = field(), field(), field(), number()
+        fits = cipher and kdf and 0 < keys <= len(data) and all(field() for _ in range(keys)) and field()
+    except ValueError:
+        return False
+    return bool(fits) and at in (len(data), len(data) - 16)
+
+
 def _pem_fits(m: re.Match) -> bool:
     try:
-        return base64.b64decode("".join(m[2].split()), validate=True)[:1] == b"\x30"  # a DER sequence
+        data = base64.b64decode("".join(m[3].split()), validate=True)
     except (ValueError, binascii.Error):
         return False
+    if "ENCRYPTED" in m[2] and "DEK-Info:" in m[2]:
+        return len(data) % 8 == 0  # whole blocks of a cipher, which have no structure to be seen
+    return data[:1] == b"\x30" or data.startswith(OPENSSH) and _openssh_fits(data)  # a DER sequence, or OpenSSH's own form
 
 
 #: Keyword: kind, expression anchored at the keyword's start, what must hold of the match.

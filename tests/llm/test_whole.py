@@ -1,7 +1,11 @@
 """Rows and notices that an earlier version lost."""
 
+import base64
+import textwrap
+
 import pytest
 
+from sedge.llm import secret_scan
 from sedge.llm.near_dedup import keep_one
 
 
@@ -13,3 +17,38 @@ def test_keep_one_judges_rows_that_share_an_id_by_their_texts(spark):
     c_kept = next(t for i, t in kept if i == 3 and t != d)  # either of two linked texts of one id
     assert c_kept in (c, c + " more")
     assert kept == sorted([(1, a), (2, b), (3, c_kept), (3, d), (5, e), (7, None), (7, ""), (8, "")], key=str)
+
+
+def pem(label, data, head=""):
+    return f"-----BEGIN {label}-----\n{head}{textwrap.fill(base64.b64encode(data).decode(), 64)}\n-----END {label}-----"
+
+
+def openssh(cipher=b"none", tag=b""):
+    field = lambda b: len(b).to_bytes(4, "big") + b
+    return b"openssh-key-v1\0" + field(cipher) + field(b"none") + field(b"") + (1).to_bytes(4, "big") + field(b"k" * 51) + field(bytes(range(136))) + tag
+
+
+LEGACY = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF0123456789ABCDEF\n\n"
+
+
+@pytest.mark.parametrize(
+    "key, fits",
+    [
+        (pem("OPENSSH PRIVATE KEY", openssh()), True),
+        (pem("OPENSSH PRIVATE KEY", openssh(b"aes256-gcm@openssh.com", b"t" * 16)), True),
+        (pem("OPENSSH PRIVATE KEY", openssh()[:-1]), False),
+        (pem("OPENSSH PRIVATE KEY", b"openssh-key-v1\0" + b"\xff" * 99), False),
+        (pem("RSA PRIVATE KEY", bytes(range(160)), LEGACY), True),
+        (pem("RSA PRIVATE KEY", bytes(range(160)), LEGACY).replace("\n", "\r\n"), True),
+        (pem("RSA PRIVATE KEY", bytes(range(161)), LEGACY), False),
+        (pem("RSA PRIVATE KEY", b"\x30" + bytes(99), "Comment: mine\n\n"), True),
+        (pem("RSA PRIVATE KEY", bytes(100), "Comment: mine\n\n"), False),
+        (pem("PRIVATE KEY", b"\x30" + bytes(99)), True),
+        (pem("PRIVATE KEY", bytes(100)), False),
+    ],
+)
+def test_private_keys_of_all_forms(key, fits):
+    text = f"before {key} after"
+    spans = [s for s in secret_scan.scan(text, secret_scan.automaton()) if s[2] == "pem"]
+    assert spans == ([(7, 7 + len(key), "pem")] if fits else [])
+    assert not fits or secret_scan.mask(text, spans) == "before [pem] after"
