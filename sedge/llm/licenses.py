@@ -1,15 +1,18 @@
 """Operator 3: licences by conditional compression.
 
-Blocks of a text that hold a cue word are its candidates: lines, and passages of several lines for
-the longer notices. Each is compressed with every template as a zstandard raw dictionary; what a
-template saves beside no dictionary ranks it. The best few are confirmed, or not, by the exact
-differences of wording between block and template.
+Blocks of a text that hold a cue word are its candidates: lines, and passages of as many words on
+both sides of the cue as a template can have there, over any number of lines. Each is compressed with
+every template as a zstandard raw dictionary; templates that save something beside no dictionary are
+confirmed, or not, by the exact differences of wording between block and template, which also cut the
+block down to the notice.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -64,11 +67,28 @@ TEMPLATES = {
         "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     ),
 }
-CUE = re.compile(r"licen[sc]|permission (?:is|to)|redistribut|public domain|spdx", re.IGNORECASE)
+#: What may stand between two words where a notice is wrapped: white space and the marks of comments.
+BREAK = r"(?:\x20|[^\S\n]*\n[\s#*/;%>-]*)"
+CUE = re.compile(rf"licen[sc]|permission{BREAK}(?:is|to)|redistribut|public{BREAK}domain|spdx", re.IGNORECASE)
+WRAP = re.compile(BREAK)
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
-#: Share of a template's words that may differ, the least saving in bytes, templates confirmed for each block, lines of a passage.
-DIFFERENT, SAVING, CONFIRMED, LINES = 0.1, 6, 3, 12
+#: Share of a template's words that may differ, the least saving in bytes.
+DIFFERENT, SAVING = 0.1, 6
+
+
+def _reach() -> tuple[int, int]:
+    """The most words that a notice can have before its first cue, and from it on, with those that may differ."""
+    before, after = 0, 0
+    for text in (t for texts in TEMPLATES.values() for t in texts):
+        all_words = len(WORD.findall(text))
+        head = len(WORD.findall(text[: m.start()])) if (m := CUE.search(text)) else 0
+        spare = int(DIFFERENT * all_words)
+        before, after = max(before, head + spare), max(after, all_words - head + spare)
+    return before, after
+
+
+BEFORE, AFTER = _reach()
 RESULT = "doc_id long, n_licenses long, licenses string, spans string, n_candidates long"
 
 
@@ -87,42 +107,64 @@ class Templates:
 
     def ranked(self, block: str) -> list[tuple[int, int]]:
         """(saving, template) of those that save, best first."""
-        data = block.encode()
+        data = WRAP.sub(" ", block).encode()
         size = len(self.bare.compress(data))
         found = [(size - len(c.compress(data)), k) for k, (_, _, c) in enumerate(self.all)]
         return sorted((f for f in found if f[0] >= SAVING), key=lambda f: (-f[0], f[1]))
 
-    def _judge(self, block: str) -> tuple:
-        """() or (name, words that differ, start, end, saving) of the best template that the wording confirms."""
-        words = [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(block)]
-        best = ()
-        for saving, k in self.ranked(block)[:CONFIRMED]:
+    def _best(self, words: list[tuple[str, int, int]], among: list[int]) -> tuple | None:
+        """(template's words as minus, words that differ, first, last, name) of the best template that the wording confirms."""
+        own = [w[0] for w in words]
+        counts, best = Counter(own), None
+        for k in among:
             name, wanted, _ = self.all[k]
-            same = [b for b in difflib.SequenceMatcher(None, wanted, [w[0] for w in words], autojunk=False).get_matching_blocks() if b.size]
-            if not same:
+            most = DIFFERENT * len(wanted)
+            if len(wanted) - (Counter(wanted) & counts).total() > most:
                 continue
-            first, last = same[0].b, same[-1].b + same[-1].size
-            matched = sum(b.size for b in same)
-            differ = max(len(wanted), last - first) - matched
-            # a version or variant is a word like any other, so in short notices none may differ
-            if differ <= DIFFERENT * len(wanted) and (not best or (-len(wanted), differ) < best[5:]):
-                best = (name, differ, words[first][1], words[last - 1][2], saving, -len(wanted), differ)
-        return best[:5]
+            same = [b for b in difflib.SequenceMatcher(None, wanted, own, autojunk=False).get_matching_blocks() if b.size]
+            # words before and after the notice may match by chance: of all runs of matches that which differs least
+            for i in range(len(same)):
+                matched = 0
+                for b in same[i:]:
+                    matched += b.size
+                    first, last = same[i].b, b.b + b.size
+                    # a version or variant is a word like any other, so in short notices none may differ
+                    differ = max(len(wanted), last - first) - matched
+                    if differ <= most and (best is None or (-len(wanted), differ) < best[:2]):
+                        best = (-len(wanted), differ, first, last, name)
+        return best
+
+    def _judge(self, block: str) -> tuple:
+        """(name, words that differ, start, end) of each notice in the block, the longest first, then those on its sides."""
+        words = [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(block)]
+        among = [k for _, k in self.ranked(block)]
+        out, todo = [], [(0, len(words))]
+        while todo:
+            low, high = todo.pop()
+            if low < high and (best := self._best(words[low:high], among)):
+                _, differ, first, last, name = best
+                out.append((name, differ, words[low + first][1], words[low + last - 1][2]))
+                todo += [(low, low + first), (low + last, high)]
+        return tuple(out)
 
 
 def candidate_blocks(text: str) -> Iterator[tuple[int, str]]:
-    """(start, block): each line with a cue word, and the passage from it on."""
-    if not CUE.search(text):
+    """(start, block): what is around each cue word in its line, and the passage of words around it."""
+    cues = list(CUE.finditer(text))
+    if not cues:
         return
-    starts = [0] + [i + 1 for i, c in enumerate(text) if c == "\n"]
-    bounds = list(zip(starts, [*[s - 1 for s in starts[1:]], len(text)], strict=True))
-    for k, (a, b) in enumerate(bounds):
-        for m in CUE.finditer(text, a, b):
-            # around the cue, as a line may be a whole text
-            yield max(a, m.start() - 160), text[max(a, m.start() - 160) : min(b, m.start() + 480)]
-        if CUE.search(text, a, b) and b - a < 160 and k + 1 < len(bounds):
-            end = bounds[min(k + LINES, len(bounds)) - 1][1]
-            yield a, text[a : min(end, a + 900)]
+    words = [m.span() for m in WORD.finditer(text)]
+    starts = [w[0] for w in words]
+    for m in cues:
+        a, b = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.start())
+        b = len(text) if b < 0 else b
+        # around the cue, as a line may be a whole text
+        line = max(a, m.start() - 160), min(b, m.start() + 480)
+        yield line[0], text[line[0] : line[1]]
+        at = max(0, bisect_right(starts, m.start()) - 1)
+        passage = words[max(0, at - BEFORE)][0], words[min(at + AFTER, len(words) - 1)][1]
+        if passage[0] < line[0] or passage[1] > line[1]:
+            yield passage[0], text[passage[0] : passage[1]]
 
 
 def license_spans(text: str, templates: Templates) -> tuple[list[tuple[int, int, str, int]], int]:
@@ -130,10 +172,7 @@ def license_spans(text: str, templates: Templates) -> tuple[list[tuple[int, int,
     found, n = [], 0
     for start, block in candidate_blocks(text):
         n += 1
-        got = templates.judge.get(block)
-        if got:
-            name, differ, a, b, _ = got
-            found.append((start + a, start + b, name, differ))
+        found += [(start + a, start + b, name, differ) for name, differ, a, b in templates.judge.get(block)]
     out: list[tuple[int, int, str, int]] = []
     for span in sorted(set(found), key=lambda s: (s[0] - s[1], s[3], s[0])):  # longest first
         if all(span[1] <= o[0] or span[0] >= o[1] for o in out):

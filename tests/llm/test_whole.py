@@ -5,7 +5,7 @@ import textwrap
 
 import pytest
 
-from sedge.llm import secret_scan
+from sedge.llm import licenses, secret_scan
 from sedge.llm.near_dedup import keep_one
 
 
@@ -52,3 +52,23 @@ def test_private_keys_of_all_forms(key, fits):
     spans = [s for s in secret_scan.scan(text, secret_scan.automaton()) if s[2] == "pem"]
     assert spans == ([(7, 7 + len(key), "pem")] if fits else [])
     assert not fits or secret_scan.mask(text, spans) == "before [pem] after"
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+@pytest.mark.parametrize("width", [18, 30, 48, 60, 72, 79, 100, 200])
+def test_wrapped_notices(width, mark):
+    found = licenses.Templates(licenses.TEMPLATES)
+    for name, notices in licenses.TEMPLATES.items():
+        for notice in notices:
+            lines = ["Copyright 2020 by some of the authors", "", *textwrap.wrap(notice, width, break_long_words=False, break_on_hyphens=False), "", "def this_is(the, software): of any use"]
+            text = "\n".join(mark + x for x in lines)
+            spans, _ = licenses.license_spans(text, found)
+            words = [w.lower() for w in licenses.WORD.findall(notice)]
+            assert [(s[2], [w.lower() for w in licenses.WORD.findall(text[s[0] : s[1]])]) for s in spans] == [(name, words)]
+
+
+def test_notices_in_a_row_are_all_found():
+    found = licenses.Templates(licenses.TEMPLATES)
+    text = "Licensed under the MIT\nLicense. Released under the MIT License.\nLicensed under the\nBSD License. Licensed under the MIT\nLicense."
+    assert [s[2] for s in licenses.license_spans(text, found)[0]] == ["MIT", "MIT", "BSD", "MIT"]
+    assert licenses.license_spans("Licensed under the Apache\nLicense, Version 3.0.", found)[0] == []
