@@ -12,7 +12,6 @@ Decoding puts the raw bytes of the ids together.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,11 +19,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RecentCache, need, sha256_hex
+from .common import Memo, from_texts, need, sha256_hex
 from .pretokens import ODD, SPLIT, pieces, spaced
 
 CHUNK, OVERLAP = 32_768, 1_024
-RESULT = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 class Codec:
@@ -39,24 +38,21 @@ class Codec:
         self.bytes_of = [b""] * (max(ranks.values()) + 1)
         for raw, rank in ranks.items():
             self.bytes_of[rank] = raw
-        self.piece = RecentCache(self._piece)
-        self.cut = RecentCache(self._cut)
-
-    def _piece(self, piece: str) -> bytes:
-        return np.asarray(self.single.encode_ordinary(piece), "<u4").tobytes()
-
-    def _cut(self, cut: str) -> bytes:
-        return b"".join(map(self.piece.get, spaced(cut)))
+        # the memos' functions hold no reference to this object, so they go with it
+        single = self.single
+        self.piece = Memo(lambda piece: np.asarray(single.encode_ordinary(piece), "<u4").tobytes()).__getitem__
+        piece = self.piece
+        self.cut = Memo(lambda cut: b"".join(map(piece, spaced(cut)))).__getitem__
 
     def encode_pieces(self, found: list[str]) -> bytes:
-        return b"".join(map(self.piece.get, found))
+        return b"".join(map(self.piece, found))
 
     def encode(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids of one chunk that is a whole text."""
         if ODD.search(text):
             return self.encode_pieces(pieces(text))
         first, *rest = text.split(" ")
-        return self.encode_pieces(pieces(first)) + b"".join(map(self.cut.get, rest))
+        return self.encode_pieces(pieces(first)) + b"".join(map(self.cut, rest))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -99,30 +95,16 @@ def stitch(text: str, starts: list[int], ends: list[np.ndarray], size: int) -> l
     return [text[a:b] for a, b in zip([0, *out[:-1]], out, strict=True)] if out else []
 
 
-def _result(doc_id, codec: Codec, ids: list[bytes]) -> pd.DataFrame:
-    return pd.DataFrame(
-        {
-            "doc_id": doc_id,
-            "n_tokens": [len(x) // 4 for x in ids],
-            "ids_sha256": [sha256_hex(x) for x in ids],
-            "decoded_sha256": [sha256_hex(codec.decode(x)) for x in ids],
-        }
-    )
+def _digests(codec: Codec, ids: bytes) -> tuple[int, str, str]:
+    return len(ids) // 4, sha256_hex(ids), sha256_hex(codec.decode(ids))
 
 
 def _encode_whole(path: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         codec = Codec(path)
-        for batch in batches:
-            yield _result(batch["doc_id"], codec, [codec.encode(t) for t in batch["text"]])
-
-    return run
-
+        return lambda texts: [_digests(codec, codec.encode(t or "")) for t in texts]
 
-def _chunk_pretokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        batch["ends"] = [chunk_ends(c) for c in batch["chunk"]]
-        yield batch
+    return start
 
 
 def _stitched(path: str, size: int, overlap: int):
@@ -135,7 +117,7 @@ def _stitched(path: str, size: int, overlap: int):
         text = "".join([c[: size - overlap] for c in rows["chunk"][:-1]] + [rows["chunk"].iloc[-1]])
         starts = [n * (size - overlap) for n in rows["number"]]
         found = stitch(text, starts, list(rows["ends"]), size)
-        return _result(rows["doc_id"].iloc[:1].tolist(), codec[0], [codec[0].encode_pieces(found)])
+        return pd.DataFrame([(rows["doc_id"].iloc[0], *_digests(codec[0], codec[0].encode_pieces(found)))], columns=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
 
@@ -145,19 +127,23 @@ def bpe_roundtrip(docs: DataFrame, ranks_path: str | None = None, chunk: int = C
 
     Null and empty texts have no tokens and the digests of nothing; a null doc_id stays null;
     each repeated row has its own row in the result; an empty table gives an empty result; extra
-    columns are not read. Texts of more than `chunk` characters are dealt out by chunks.
+    columns, whatever their names, are not read. Texts of more than `chunk` characters are dealt out by chunks and put
+    together, one text in a task at a time; shorter ones are one chunk each.
     """
     path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
-    texts = need(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    whole = texts.where(F.length("text") <= chunk).mapInPandas(_encode_whole(path), RESULT)
+    texts = need(docs, "doc_id", "text")
+    kind = texts.schema["doc_id"].dataType
+    short = F.coalesce(F.length("text") <= chunk, F.lit(True))
+    whole = from_texts(texts.where(short), _encode_whole(path), RESULT)
     step = chunk - overlap
     number = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - overlap - 1) / step).cast("int")))
     chunks = (
-        texts.where(F.length("text") > chunk)
-        .select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text")
+        texts.where(~short)
+        # pandas would turn numbers beside a null into doubles, so the id goes as text
+        .select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("string").alias("doc_id"), "text")
         .select("rid", "doc_id", number.alias("number"), "text")
         .select("rid", "doc_id", "number", F.expr(f"substring(text, number * {step} + 1, {chunk})").alias("chunk"))
     )
-    ends = chunks.repartition("rid", "number").mapInPandas(_chunk_pretokens, "rid long, doc_id long, number int, chunk string, ends array<long>")
-    long = ends.groupBy("rid").applyInPandas(_stitched(path, chunk, overlap), RESULT)
-    return whole.unionByName(long)
+    ends = from_texts(chunks.repartition("rid", "number"), lambda: lambda found: [(chunk_ends(c),) for c in found], "ends array<long>", column="chunk", keep=True)
+    long = ends.groupBy("rid").applyInPandas(_stitched(path, chunk, overlap), f"doc_id string, {RESULT}")
+    return whole.unionByName(long.withColumn("doc_id", F.col("doc_id").cast(kind)))

@@ -1,22 +1,31 @@
-"""What the operators for training data share: scratch tables, column guards, digests."""
+"""What the operators for training data share: scratch tables, columns by position, maps over texts, memos, digests."""
 
 from __future__ import annotations
 
 import hashlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+#: Rows whose results a task holds at once.
+SLICE = 1024
 
 
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for intermediate tables: spark.checkpoint.dir where the cluster names it.
 
-    Only where that is unset, as in tests on one machine, a local folder is made and set.
+    Only where that is unset and Spark runs on one machine, as in tests, a local folder is made and set.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="sedge-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
@@ -34,26 +43,79 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_position(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ...: names that differ by case alone, or not at all, can't clash."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
 def need(df: DataFrame, *names: str) -> DataFrame:
-    """df cut down to the named columns; extra columns, whatever their names, go no further."""
+    """df cut down to the named columns (the first of each exact name); extra columns, whatever their names, go no further."""
     missing = [n for n in names if n not in df.columns]
     if missing:
         raise ValueError(f"columns {missing} are missing; the table has {df.columns}")
-    return df.select(*[F.col(f"`{n}`") for n in names])
+    return by_position(df).select(*[F.col(f"c{df.columns.index(n)}").alias(n) for n in names])
 
 
-def unused(name: str, columns: list[str]) -> str:
-    """The name, with as many underscores as keep it apart from those of the columns."""
-    taken = {c.lower() for c in columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+def from_texts(rows: DataFrame, start: Callable, made: str, column: str = "text", keep: bool = False) -> DataFrame:
+    """rows with the columns `made` (DDL) after their own; `column` itself goes unless `keep`.
+
+    start() runs once in a task and returns a function from a list of the column's values to a list
+    of tuples, one for each. All other columns pass as Arrow arrays, whatever their names and types:
+    an integer beside a null stays exact. An empty table gives an empty result.
+    """
+    at = rows.columns.index(column)
+    kept = [i for i in range(len(rows.columns)) if keep or i != at]
+    new = T.DataType.fromDDL(made)
+    types = list(to_arrow_schema(new).types)
+    plain = by_position(rows)
+    schema = T.StructType([plain.schema[i] for i in kept] + [T.StructField(f"m{i}", f.dataType) for i, f in enumerate(new.fields)])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = start()
+        for whole in batches:
+            for first in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(first, SLICE)
+                found = list(zip(*make(batch.column(at).to_pylist()), strict=True))
+                arrays = [batch.column(i) for i in kept] + [pa.array(x, t) for x, t in zip(found, types, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-def map_texts(docs: DataFrame, function) -> DataFrame:
-    """docs with function over its pandas batches, which keep their columns: `text`, and the others whatever their names."""
-    plain = docs.toDF(*[c if c == "text" else f"column_{i}" for i, c in enumerate(docs.columns)])
-    return plain.mapInPandas(function, plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(run, schema).toDF(*[rows.columns[i] for i in kept], *new.names)
+
+
+def map_texts(docs: DataFrame, start: Callable) -> DataFrame:
+    """docs with each text replaced by what the function of start() gives for it; a row for which it gives False goes.
+
+    The columns keep their places, names, types and values.
+    """
+    at = docs.columns.index("text")
+    plain = by_position(docs)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make = start()
+        for whole in batches:
+            for first in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(first, SLICE)
+                texts = make(batch.column(at).to_pylist())
+                arrays = [pa.array([None if t is False else t for t in texts], pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns)]
+                out = pa.RecordBatch.from_arrays(arrays, names=batch.schema.names)
+                yield out.filter(pa.array([t is not False for t in texts], pa.bool_()))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
+
+
+def frequent(table: DataFrame, count: Column, most: int) -> Column | None:
+    """A condition that holds for the most frequent rows of the table, at most `most`; None if it holds for none.
+
+    It asks for a level of counts, in sixteenths of a power of two, so only a few hundred numbers reach the driver.
+    """
+    level = F.floor(F.log2(count) * 16).cast("int")
+    total, least = 0, None
+    for row in sorted(table.groupBy(level.alias("level")).count().collect(), reverse=True):
+        total += row["count"]
+        if total > most:
+            break
+        least = row["level"]
+    return None if least is None else level >= least
 
 
 def held_out(doc_id: Column) -> Column:
@@ -65,23 +127,20 @@ def sha256_hex(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-class RecentCache:
-    """A memo of bounded size: two generations of at most `size` entries, the older one is dropped."""
+class Memo(dict):
+    """What make() gives for keys, kept for at most `most` keys of at most `longest` characters.
 
-    def __init__(self, make, size: int = 300_000):
-        self.make, self.size, self.old = make, size, {}
-        outer = self
-
-        class Young(dict):
-            def __missing__(self, key):
-                value = outer.old.get(key)
-                if value is None:
-                    value = outer.make(key)
-                if len(self) >= outer.size:
-                    outer.old = dict(self)
-                    self.clear()
-                self[key] = value
-                return value
+    Both bounds together bound its bytes, whatever the texts; when it is full it starts again.
+    """
 
-        self.young = Young()
-        self.get = self.young.__getitem__
+    def __init__(self, make: Callable, most: int = 200_000, longest: int = 48):
+        super().__init__()
+        self.make, self.most, self.longest = make, most, longest
+
+    def __missing__(self, key: str):
+        value = self.make(key)
+        if len(key) <= self.longest:
+            if len(self) >= self.most:
+                self.clear()
+            self[key] = value
+        return value

@@ -1,10 +1,10 @@
 """Operator 3: licences by conditional compression.
 
-Blocks of a text that hold a cue word are its candidates: lines, and passages of as many words on
-both sides of the cue as a template can have there, over any number of lines. Each is compressed with
-every template as a zstandard raw dictionary; templates that save something beside no dictionary are
-confirmed, or not, by the exact differences of wording between block and template, which also cut the
-block down to the notice.
+Around each cluster of cue words a block of a text is a candidate: as many words before and after as
+the longest template can have there, over any number of lines. Each block is compressed with every
+template as a zstandard raw dictionary; the templates are ranked by what they save beside no
+dictionary, and each that saves anything is confirmed, or not, by the exact differences of wording
+between block and template, which also cut the block down to the notice.
 """
 
 from __future__ import annotations
@@ -15,11 +15,9 @@ from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import RecentCache, need
+from .common import from_texts, need
 
 # Public wordings of notices.
 TEMPLATES = {
@@ -28,6 +26,7 @@ TEMPLATES = {
         "Licensed under the MIT License.",
         "This project is licensed under the terms of the MIT license.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ),
     "Apache-2.0": (
         "Licensed under the Apache License, Version 2.0.",
@@ -45,10 +44,12 @@ TEMPLATES = {
         "Licensed under the BSD License.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     ),
     "ISC": (
         "Licensed under the ISC License.",
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
     ),
     "MPL-2.0": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
@@ -73,8 +74,8 @@ CUE = re.compile(rf"licen[sc]|permission{BREAK}(?:is|to)|redistribut|public{BREA
 WRAP = re.compile(BREAK)
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
-#: Share of a template's words that may differ, the least saving in bytes.
-DIFFERENT, SAVING = 0.1, 6
+#: Share of a template's words that may differ; words that one cluster of cues may span.
+DIFFERENT, CLUSTER = 0.1, 64
 
 
 def _reach() -> tuple[int, int]:
@@ -89,7 +90,7 @@ def _reach() -> tuple[int, int]:
 
 
 BEFORE, AFTER = _reach()
-RESULT = "doc_id long, n_licenses long, licenses string, spans string, n_candidates long"
+RESULT = "n_licenses long, licenses string, spans string, n_candidates long"
 
 
 class Templates:
@@ -103,14 +104,13 @@ class Templates:
             for text in texts:
                 data = zstandard.ZstdCompressionDict(text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
                 self.all.append((name, [w.lower() for w in WORD.findall(text)], zstandard.ZstdCompressor(dict_data=data, **plain)))
-        self.judge = RecentCache(self._judge, 50_000)
 
     def ranked(self, block: str) -> list[tuple[int, int]]:
         """(saving, template) of those that save, best first."""
         data = WRAP.sub(" ", block).encode()
         size = len(self.bare.compress(data))
         found = [(size - len(c.compress(data)), k) for k, (_, _, c) in enumerate(self.all)]
-        return sorted((f for f in found if f[0] >= SAVING), key=lambda f: (-f[0], f[1]))
+        return sorted((f for f in found if f[0] > 0), key=lambda f: (-f[0], f[1]))
 
     def _best(self, words: list[tuple[str, int, int]], among: list[int]) -> tuple | None:
         """(template's words as minus, words that differ, first, last, name) of the best template that the wording confirms."""
@@ -134,7 +134,7 @@ class Templates:
                         best = (-len(wanted), differ, first, last, name)
         return best
 
-    def _judge(self, block: str) -> tuple:
+    def judge(self, block: str) -> tuple:
         """(name, words that differ, start, end) of each notice in the block, the longest first, then those on its sides."""
         words = [(m[0].lower(), m.start(), m.end()) for m in WORD.finditer(block)]
         among = [k for _, k in self.ranked(block)]
@@ -149,22 +149,20 @@ class Templates:
 
 
 def candidate_blocks(text: str) -> Iterator[tuple[int, str]]:
-    """(start, block): what is around each cue word in its line, and the passage of words around it."""
-    cues = list(CUE.finditer(text))
+    """(start, block): the passage of words around each cluster of cues, long enough for any notice at any of them."""
+    cues = [m.start() for m in CUE.finditer(text)]
     if not cues:
         return
     words = [m.span() for m in WORD.finditer(text)]
     starts = [w[0] for w in words]
-    for m in cues:
-        a, b = text.rfind("\n", 0, m.start()) + 1, text.find("\n", m.start())
-        b = len(text) if b < 0 else b
-        # around the cue, as a line may be a whole text
-        line = max(a, m.start() - 160), min(b, m.start() + 480)
-        yield line[0], text[line[0] : line[1]]
-        at = max(0, bisect_right(starts, m.start()) - 1)
-        passage = words[max(0, at - BEFORE)][0], words[min(at + AFTER, len(words) - 1)][1]
-        if passage[0] < line[0] or passage[1] > line[1]:
-            yield passage[0], text[passage[0] : passage[1]]
+    at = [max(0, bisect_right(starts, c) - 1) for c in cues]
+    k = 0
+    while k < len(at):
+        first = last = at[k]
+        while k < len(at) and at[k] < first + CLUSTER:
+            last, k = at[k], k + 1
+        a, b = words[max(0, first - BEFORE)][0], words[min(last + AFTER, len(words) - 1)][1]
+        yield a, text[a:b]
 
 
 def license_spans(text: str, templates: Templates) -> tuple[list[tuple[int, int, str, int]], int]:
@@ -172,7 +170,7 @@ def license_spans(text: str, templates: Templates) -> tuple[list[tuple[int, int,
     found, n = [], 0
     for start, block in candidate_blocks(text):
         n += 1
-        found += [(start + a, start + b, name, differ) for name, differ, a, b in templates.judge.get(block)]
+        found += [(start + a, start + b, name, differ) for name, differ, a, b in templates.judge(block)]
     out: list[tuple[int, int, str, int]] = []
     for span in sorted(set(found), key=lambda s: (s[0] - s[1], s[3], s[0])):  # longest first
         if all(span[1] <= o[0] or span[0] >= o[1] for o in out):
@@ -180,24 +178,22 @@ def license_spans(text: str, templates: Templates) -> tuple[list[tuple[int, int,
     return sorted(out), n
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scanner():
     templates = Templates(TEMPLATES)
-    for batch in batches:
-        rows = []
-        for text in batch["text"]:
-            spans, n = license_spans(text, templates)
-            rows.append((len(spans), ",".join(sorted({s[2] for s in spans})), ",".join(f"{name}:{a}:{b}" for a, b, name, _ in spans), n))
-        out = pd.DataFrame(rows, columns=["n_licenses", "licenses", "spans", "n_candidates"])
-        out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-        yield out
+
+    def row(text: str | None) -> tuple[int, str, str, int]:
+        spans, n = license_spans(text or "", templates)
+        return len(spans), ",".join(sorted({s[2] for s in spans})), ",".join(f"{name}:{a}:{b}" for a, b, name, _ in spans), n
+
+    return lambda texts: list(map(row, texts))
 
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """doc_id, n_licenses, licenses, spans (name:start:end, code points) and n_candidates of each row of docs (doc_id, text).
 
     Null and empty texts have none; a null doc_id stays null; each repeated row has its own row in the
-    result; an empty table gives an empty result; extra columns are not read. Of overlapping spans the
-    longest stays, of equally long ones that with fewer differing words.
+    result; an empty table gives an empty result; extra columns, whatever their names, are not read. Of overlapping spans the
+    longest stays, of equally long ones that with fewer differing words. The work on a very long text goes with its
+    cues, a block of bounded words for each cluster of them.
     """
-    texts = need(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    return texts.mapInPandas(_scan, RESULT)
+    return from_texts(need(docs, "doc_id", "text"), _scanner, RESULT)

@@ -25,15 +25,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import RecentCache, materialise, need, unused
+from .common import Memo, by_position, from_texts, materialise, need
 
 HALVES, STARS = 10, 2
-#: Classes in shared buckets up to which their names are broadcast to the scan for their texts (16 bytes each).
-NAMES = 2_000_000
+#: Rows of small columns up to which they are broadcast to the scan for the texts (some 100 bytes each in the JVM).
+NAMES = 1_000_000
 #: Half keys that candidates must share: at s = 0.8 a pair has 12.8 of 20, and under 3 with a probability under 1e-6.
 LEAST = 3
-#: Pairs in a bucket from which it is compared in blocks of at most about BLOCK sets.
-WIDE, BLOCK = 1024, 200
+#: Pairs in a bucket from which it is compared in blocks of about BLOCK sets and BLOCK_BYTES bytes of them at most;
+#: a task of a wide group compares GRID blocks with GRID others.
+WIDE, BLOCK, BLOCK_BYTES, GRID = 1024, 200, 8 << 20, 4
 TESTED = "a long, b long, both long, either long"
 
 U = np.uint64
@@ -51,14 +52,14 @@ class Shingler:
 
     def __init__(self, words: int):
         self.words = words
-        self.hash = RecentCache(xxhash.xxh64_intdigest, 500_000)
+        self.hash = Memo(xxhash.xxh64_intdigest).__getitem__
 
     def __call__(self, text: str | None) -> np.ndarray:
         # bytes.lower() and split() treat A-Z and the six ASCII separators only
         found = text.encode().lower().split() if text else []
         if not found:
             return np.empty(0, U)
-        h = np.fromiter(map(self.hash.get, found), U, len(found))
+        h = np.fromiter(map(self.hash, found), U, len(found))
         size = min(self.words, len(h))
         out = np.full(len(h) - size + 1, U(size))
         for k in range(size):
@@ -76,22 +77,18 @@ def half_keys(shingles: np.ndarray, m: int) -> np.ndarray:
 
 
 def _sketch(words: int, m: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         shingler = Shingler(words)
-        for batch in batches:
-            rows = []
-            for text in batch["text"]:
-                s = shingler(text)
-                if len(s):
-                    whole = xxhash.xxh128_digest(s.tobytes())
-                    rows.append((len(s), *np.frombuffer(whole, np.int64), half_keys(s, m).view(np.int64)))
-                else:
-                    rows.append((0, None, None, None))
-            out = pd.DataFrame(rows, columns=["n_shingles", "c1", "c2", "halves"], dtype=object)
-            out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-            yield out
 
-    return run
+        def row(text: str | None) -> tuple:
+            s = shingler(text)
+            if not len(s):
+                return 0, None, None, None
+            return len(s), *np.frombuffer(xxhash.xxh128_digest(s.tobytes()), np.int64).tolist(), half_keys(s, m).view(np.int64)
+
+        return lambda texts: list(map(row, texts))
+
+    return start
 
 
 def _sets(words: int):
@@ -172,8 +169,8 @@ def _similar_sizes(x: Column, y: Column, percent: int) -> Column:
 class _Groups:
     """The search over classes; each step's table is small beside the documents."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, words: int, percent: int, m: int):
-        self.docs, self.classes, self.words, self.percent, self.m = docs, classes, words, percent, m
+    def __init__(self, docs: DataFrame, classes: DataFrame, words: int, percent: int, m: int, least: int):
+        self.docs, self.classes, self.words, self.percent, self.m, self.least = docs, classes, words, percent, m, least
         #: the class with most copies leads first: edited copies are nearer to it than to each other
         self.first_priority = F.struct((-F.col("n_docs")).alias("copies"), F.xxhash64("node").alias("rest"))
         self.buckets = materialise(self._buckets())
@@ -264,22 +261,36 @@ class _Groups:
         bin_ = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / self.percent)).cast("int")
         rows = materialise(rows.select(F.col("lead_component").alias("group"), bin_.alias("bin"), "node", "component", (F.col("component") != F.col("lead_component")).alias("outside")).distinct())
 
+        sizes = self.classes.select("node", "n_shingles")
+        rows = rows.join(sizes, "node")
+
         def blocks(part: DataFrame, name: str) -> DataFrame:
-            slots = part.groupBy("group", "bin").agg(F.ceil(F.count("*") / BLOCK).alias("slots"))
-            part = part.join(slots, ["group", "bin"]).withColumn("slot", F.pmod(F.xxhash64("node"), F.col("slots")))
-            return part.join(self.sets, "node").groupBy("group", "bin", "slot").agg(F.collect_list(F.struct("node", "component", "shingles")).alias(name)).drop("slot")
+            """Blocks of sets, numbered within group and bin, and how many there are."""
+            most = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES))
+            part = part.join(part.groupBy("group", "bin").agg(most.alias("slots")), ["group", "bin"]).withColumn("slot", F.pmod(F.xxhash64("node"), F.col("slots")))
+            return part.join(self.sets, "node").groupBy("group", "bin", "slot", "slots").agg(F.collect_list(F.struct("node", "component", "shingles")).alias(name))
 
+        # the pairs of blocks of one group and bin are dealt to a grid of cells, each with GRID * GRID pairs at most
         x = blocks(rows.where("outside"), "xs").withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
-        pairs = x.join(blocks(rows.drop("outside"), "ys"), ["group", "bin"]).select("xs", "ys")
+        y = blocks(rows.drop("outside"), "ys").select("group", "bin", F.col("slot").alias("y_slot"), F.col("slots").alias("y_slots"), "ys")
+        tall = self._cells(x.select("group", "bin", "slots").distinct().groupBy("group", "bin").agg(F.max("slots").alias("slots")), "slots", "rows")
+        wide = self._cells(y.select("group", "bin", "y_slots").distinct(), "y_slots", "cols")
+        x = x.join(wide, ["group", "bin"]).join(tall, ["group", "bin"]).withColumn("row", F.pmod(F.xxhash64("slot", "slots"), F.col("rows"))).withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)))
+        y = y.join(wide, ["group", "bin"]).join(tall, ["group", "bin"]).withColumn("col", F.pmod(F.xxhash64("y_slot", "y_slots"), F.col("cols"))).withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
+        pairs = x.select("group", "bin", "row", "col", "xs").join(y.select("group", "bin", "row", "col", "ys"), ["group", "bin", "row", "col"]).select("xs", "ys")
         return pairs.mapInPandas(_block_links(self.percent), TESTED).distinct()
 
+    @staticmethod
+    def _cells(groups: DataFrame, slots: str, name: str) -> DataFrame:
+        return groups.select("group", "bin", F.ceil(F.col(slots) / GRID).alias(name))
+
     def confirm(self, pairs: DataFrame, more: DataFrame | None = None) -> None:
         """Test the candidates that are new on their full sets; join the components of those that link, and of more links."""
         if self.tested is not None:
             pairs = pairs.join(self.tested.select("a", "b"), ["a", "b"], "left_anti")
         halves = self.classes.select("node", "halves")
         pairs = pairs.join(halves.toDF("a", "ha"), "a").join(halves.toDF("b", "hb"), "b")
-        pairs = pairs.where(F.size(F.filter(F.zip_with("ha", "hb", lambda x, y: x == y), lambda same: same)) >= LEAST).select("a", "b")
+        pairs = pairs.where(F.size(F.filter(F.zip_with("ha", "hb", lambda x, y: x == y), lambda same: same)) >= self.least).select("a", "b")
         sets = self.sets
         joined = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a")
         found = joined.select("a", "b", "x", "y").mapInPandas(_common, TESTED)
@@ -299,15 +310,15 @@ class _Groups:
         return self.labels
 
 
-def _verdicts(docs: DataFrame, words: int, percent: int, halves: int) -> DataFrame:
+def _verdicts(docs: DataFrame, words: int, percent: int, halves: int, least: int = LEAST) -> DataFrame:
     """doc_id, n_shingles, c1, c2, grp, least of each row: its class, the component's own number (a doc_id may be in several) and its smallest doc_id."""
     texts = need(docs, "doc_id", "text")
-    sketches = materialise(texts.mapInPandas(_sketch(words, halves), "doc_id long, n_shingles long, c1 long, c2 long, halves array<long>"))
+    sketches = materialise(from_texts(texts, _sketch(words, halves), "n_shingles long, c1 long, c2 long, halves array<long>"))
     named = sketches.where(F.col("doc_id").isNotNull() & F.col("c1").isNotNull())
     # the smallest doc_id stands for its class; equal sets have equal half keys
     classes = named.groupBy("c1", "c2").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n_shingles"), F.first("halves").alias("halves"), F.count("*").alias("n_docs"))
     classes = materialise(classes.withColumn("node", F.monotonically_increasing_id()))
-    labels = _Groups(texts, classes, words, percent, halves).run()
+    labels = _Groups(texts, classes, words, percent, halves, least).run()
     of_class = classes.select("c1", "c2", "node", F.col("doc_id").alias("least"), F.col("node").alias("grp"))
     if labels is not None:
         smallest = of_class.join(labels, "node").groupBy("component").agg(F.min("least").alias("smallest"))
@@ -317,7 +328,7 @@ def _verdicts(docs: DataFrame, words: int, percent: int, halves: int) -> DataFra
     return rows.join(of_class.select("c1", "c2", "grp", "least"), ["c1", "c2"], "left")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, halves: int = HALVES) -> DataFrame:
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, halves: int = HALVES, least: int = LEAST) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row of docs (doc_id, text).
 
     Sets are linked whose intersection is at least `percent` hundredths of their union;
@@ -326,9 +337,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, halves:
     no shingles and are linked with nothing. A null doc_id can't name a component: such rows take no
     part in links, have a null component_id and are kept. Each repeated row has its own row in the
     result; rows that share a doc_id but not their text are linked by their texts, not by the
-    doc_id. An empty table gives an empty result; extra columns are not read.
+    doc_id. An empty table gives an empty result; extra columns, whatever their names, are not read. Very long texts
+    are compared by their whole sets. Candidates share `least` half keys of 2 * halves; 1 and 1 more halves search further.
     """
-    out = _verdicts(docs, words, percent, halves)
+    out = _verdicts(docs, words, percent, halves, least)
     component = F.coalesce("least", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
@@ -336,36 +348,41 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, halves:
 def _class_of(words: int):
     """The class of a text, c1 and c2, as _sketch gives it; nulls for texts without shingles."""
 
-    @F.pandas_udf("c1 long, c2 long")
-    def run(texts: pd.Series) -> pd.DataFrame:
+    def start():
         shingler = Shingler(words)
-        sets = [shingler(t) for t in texts]
-        rows = [np.frombuffer(xxhash.xxh128_digest(s.tobytes()), np.int64).tolist() if len(s) else (None, None) for s in sets]
-        return pd.DataFrame(rows, columns=["c1", "c2"], dtype=object)
 
-    return run
+        def row(text: str | None) -> tuple:
+            s = shingler(text)
+            return tuple(np.frombuffer(xxhash.xxh128_digest(s.tobytes()), np.int64).tolist()) if len(s) else (None, None)
+
+        return lambda texts: list(map(row, texts))
+
+    return start
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """docs without the rows whose component has a smaller doc_id, and with one row of those that a component has of its smallest.
 
-    Rows that share a doc_id are judged each by its own text; a text without shingles is linked with
-    nothing and stays once for each doc_id. All columns stay, whatever their names. Rows with a null
-    doc_id stay; an empty table gives an empty result.
+    Rows that share a doc_id are judged each by its own text; of those that link, the one with the smallest text
+    stays. A text without shingles is linked with nothing and stays once for each doc_id. Null doc_ids stay, all their
+    rows; an empty table stays empty. All columns stay, whatever their names. Very long texts are compared whole.
     """
-    columns = [F.col(f"`{c}`") for c in docs.columns]
-    kept_id, repeats, own, c1, c2, x, y, grp = (unused(n, docs.columns) for n in ("kept_id", "rows_of_id", "own_class", "class_1", "class_2", "verdict_1", "verdict_2", "group_of_class"))
+    plain = by_position(docs)
+    id_, text = f"c{docs.columns.index('doc_id')}", f"c{docs.columns.index('text')}"
     verdict = _verdicts(docs, words, percent, HALVES).where("doc_id is not null").withColumn("stays", F.col("doc_id") == F.coalesce("least", "doc_id"))
-    ids = verdict.groupBy("doc_id").agg(F.max("stays").alias("stays"), F.count("*").alias(repeats)).where("stays")
-    keep = ids.select(F.col("doc_id").alias(kept_id), repeats).hint("shuffle_hash")
-    joined = docs.join(keep, F.col("doc_id") == F.col(kept_id))
-    once = joined.where(F.col(repeats) == 1).select(*columns)
-    # of ids with several rows each text has its own verdict
-    repeated = joined.where(F.col(repeats) > 1).select(*columns).withColumn(own, _class_of(words)(F.col("text")))
-    repeated = repeated.select(*columns, F.col(f"{own}.c1").alias(c1), F.col(f"{own}.c2").alias(c2), F.when(F.col(f"{own}.c1").isNull(), F.col("text")).alias(own))
-    repeated = repeated.dropDuplicates(["doc_id", c1, c2, own])
-    several = ids.where(F.col(repeats) > 1).select("doc_id")
-    stays = verdict.where("stays").join(several, "doc_id", "left_semi").select("doc_id", "c1", "c2", "grp").distinct().toDF(kept_id, x, y, grp)
-    same = (F.col("doc_id") == F.col(kept_id)) & F.col(c1).eqNullSafe(F.col(x)) & F.col(c2).eqNullSafe(F.col(y))
-    repeated = repeated.join(stays, same).dropDuplicates(["doc_id", grp, own]).select(*columns)
-    return once.unionByName(repeated).unionByName(docs.where("doc_id is null"))
+    ids = materialise(verdict.groupBy("doc_id").agg(F.max("stays").alias("stays"), F.count("*").alias("repeats")).where("stays"))
+    some = lambda keep: F.broadcast(keep) if keep.count() <= NAMES else keep
+    single, several = ids.where("repeats = 1").select("doc_id"), ids.where("repeats > 1").select("doc_id")
+    out = plain.join(some(single.withColumnRenamed("doc_id", "kept_id")), F.col(id_) == F.col("kept_id"), "left_semi").unionByName(plain.where(F.col(id_).isNull()))
+    if several.limit(1).count():
+        # of ids with several rows each text has its own verdict
+        rows = plain.join(some(several.withColumnRenamed("doc_id", "kept_id")), F.col(id_) == F.col("kept_id"), "left_semi")
+        rows = from_texts(rows, _class_of(words), "c1_ long, c2_ long", column=text, keep=True)
+        stays = verdict.where("stays").join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("kept_id"), F.col("c1").alias("x"), F.col("c2").alias("y"), "grp").distinct()
+        same = (F.col(id_) == F.col("kept_id")) & F.col("c1_").eqNullSafe(F.col("x")) & F.col("c2_").eqNullSafe(F.col("y"))
+        # what stays of a component: the row of the smallest text; of texts without shingles each stays once
+        own = F.when(F.col("c1_").isNull(), F.col(text))
+        whole = F.struct(*[F.col(c) for c in plain.columns])
+        kept = rows.join(stays, same).groupBy(id_, "grp", own.alias("own")).agg(F.min_by(whole, F.struct(F.col(text), F.xxhash64(text))).alias("kept"))
+        out = out.unionByName(kept.select("kept.*"))
+    return out.toDF(*docs.columns)

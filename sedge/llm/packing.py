@@ -1,32 +1,33 @@
 """Operator 9: cost-balanced packing of documents into sequences.
 
 Attention costs a sequence n + n * n / WIDTH for n tokens of one document. Documents go in
-descending order to the sequence of the lowest cost so far that still has room for them; what has
-no room anywhere is cut to fill the rooms that are left. A task packs its own partition in groups
-of about GROUP tokens, so nothing is shuffled, a lost task is simply run again, and memory is
+descending order to the sequence of the lowest cost so far that still has room for them, of all the
+sequences of their group; what has no room in any of them is cut to fill the rooms that are left. A task packs
+its own partition in groups of about GROUP tokens in the order of its rows, so which documents share a group
+follows the files. Nothing is shuffled, a lost task is simply run again, and memory is
 bounded by a group and its last document. A group's sequences hold 4096 tokens each and its rest
 goes to sequences whose lengths are powers of two, which need no padding.
 """
 
 from __future__ import annotations
 
-import heapq
 import zlib
 from array import array
 from collections.abc import Iterator
 from string import punctuation as PUNCTUATION
 
 import numpy as np
-import pandas as pd
 import public_tokenizers
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import RecentCache, need
+from .common import Memo, need
 
 SEQUENCE, GROUP, WIDTH, END = 4096, 1 << 20, 1024, 2
-RESULT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+RESULT = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Controls that str.split() takes as white space and the tokenizer doesn't.
 CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -45,33 +46,30 @@ class WordIds:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = RecentCache(self._word, 400_000)
-        self.pieces = RecentCache(self._piece, 300_000)
+        # these two hold no reference to this object, so they go with it
+        self.pieces = Memo(self._piece_ids(self.tokenizer.model))
         spelled = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.spelling = {c: spelled.pre_tokenize_str(chr(c))[0][0] for c in range(128, 256)}
-
-    def _ids(self, text: str) -> bytes:
-        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-
-    def _piece(self, spelled: str) -> bytes:
-        return array("I", [t.id for t in self.tokenizer.model.tokenize(spelled)]).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        core = word.rstrip(PUNCTUATION)
-        if not core.isalpha():
-            return self._ids(word)
-        if core.isascii():
-            ids = self.pieces.get(core.lower())
-        elif max(core) <= "\xff":
-            ids = self.pieces.get(core.lower().translate(self.spelling))
-        else:
-            return self._ids(word)
-        return ids + self.pieces.get(word[len(core) :]) if len(core) < len(word) else ids
+        self.words = Memo(self._word_ids(self.tokenizer, self.pieces, {c: spelled.pre_tokenize_str(chr(c))[0][0] for c in range(128, 256)}))
+
+    @staticmethod
+    def _piece_ids(model):
+        return lambda spelled: array("I", [t.id for t in model.tokenize(spelled)]).tobytes()
+
+    @staticmethod
+    def _word_ids(tokenizer, pieces: Memo, spelling: dict[int, str]):
+        def ids(word: str) -> bytes:
+            core = word.rstrip(PUNCTUATION)
+            if not core.isalpha() or max(core) > "\xff":
+                return array("I", tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+            found = pieces[core.lower() if core.isascii() else core.lower().translate(spelling)]
+            return found + pieces[word[len(core) :]] if len(core) < len(word) else found
+
+        return ids
 
     def ids(self, text: str) -> bytes:
         if any(c in text for c in CONTROLS):
-            return self._ids(text)
-        return b"".join(map(self.words.get, text.split()))
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 def cost(n: int) -> float:
@@ -99,47 +97,38 @@ def pack(lengths: list[int], size: int = SEQUENCE) -> list[tuple[int, int, int,
             sequence += 1
         if n % size:
             parts.append((n % size, doc, n - n % size))
-    left = {s: rooms[s] for s in range(used, len(rooms))}
-    heap = [(0.0, s) for s in left]
+    left, costs = np.array(rooms, np.int64), np.zeros(len(rooms))
+    left[:used] = 0
     homeless = []
     for n, doc, start in sorted(parts, key=lambda p: (-p[0], p[1])):
-        tried = []
-        while heap:
-            c, s = heapq.heappop(heap)
-            if left[s] >= n:
-                out.append((doc, start, n, s))
-                left[s] -= n
-                if left[s]:
-                    heapq.heappush(heap, (c + cost(n), s))
-                n = 0
-                break
-            tried.append((c, s))
-            if len(tried) >= 64:  # then the piece is cut, as cuts are free
-                break
-        for x in tried:
-            heapq.heappush(heap, x)
-        if n:
+        fits = np.flatnonzero(left >= n)
+        if not len(fits):
             homeless.append((n, doc, start))
-    spare = iter(sorted((s for s in left if left[s]), key=lambda s: (-left[s], s)))
+            continue
+        s = int(fits[np.argmin(costs[fits])])  # of equal costs the first
+        out.append((doc, start, n, s))
+        left[s] -= n
+        costs[s] += cost(n)
+    spare = iter(sorted(np.flatnonzero(left).tolist(), key=lambda s: (-left[s], s)))
     s = None
     for n, doc, start in homeless:
         while n:
             if s is None or not left[s]:
                 s = next(spare)
-            take = min(n, left[s])
+            take = min(n, int(left[s]))
             out.append((doc, start, take, s))
             left[s] -= take
             start, n = start + take, n - take
     return out
 
 
-def _pack_partition(path: str, size: int, group: int, end: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _pack_partition(path: str, size: int, group: int, end: int, types: list[pa.DataType], names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, last = WordIds(path), np.asarray([end], "<u4").tobytes()
         held: list[tuple[object, bytes]] = []
         tokens, first = 0, TaskContext.get().partitionId() << 36
 
-        def flush() -> pd.DataFrame:
+        def flush() -> pa.RecordBatch:
             nonlocal first, tokens
             lengths = [len(b) // 4 for _, b in held]
             offsets: dict[int, int] = {}
@@ -152,14 +141,12 @@ def _pack_partition(path: str, size: int, group: int, end: int):
             first += len(offsets)
             held.clear()
             tokens = 0
-            out = pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
-            out["doc_id"] = out["doc_id"].astype("Int64")
-            return out
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
         for batch in batches:
-            for name, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids = words.ids(text) + last
-                held.append((None if pd.isna(name) else int(name), ids))
+            for name, text in zip(batch.column(0), batch.column(1), strict=True):
+                ids = words.ids(text.as_py() or "") + last
+                held.append((name.as_py(), ids))
                 tokens += len(ids) // 4
                 if tokens >= group:
                     yield flush()
@@ -173,9 +160,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, size: int
     """The pieces of the packed documents (doc_id, text): where each lies in its document and its sequence.
 
     A null or empty text is the end token alone; a null doc_id stays null; each repeated row is
-    packed as a document of its own; an empty table gives an empty result; extra columns are not
-    read. Equal lengths keep the order of the rows. Sequence ids are unique, not consecutive.
+    packed as a document of its own; an empty table gives an empty result; extra columns, whatever
+    their names, are not read. Equal lengths keep the order of the rows, equal costs the order of the
+    sequences. A very long text fills sequences of its own and is cut there; a task holds its ids.
+    Sequence ids are unique, not consecutive.
     """
     path = tokenizer_path or public_tokenizers.path("word_bpe_49k.json")
-    texts = need(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    return texts.mapInPandas(_pack_partition(path, size, group, end), RESULT)
+    rows = need(docs, "doc_id", "text")
+    schema = T.StructType([rows.schema["doc_id"], *T.DataType.fromDDL(RESULT).fields])
+    return rows.mapInArrow(_pack_partition(path, size, group, end, list(to_arrow_schema(schema).types), schema.names), schema)

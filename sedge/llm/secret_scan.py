@@ -13,25 +13,23 @@ import binascii
 import json
 import re
 import zlib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_texts, need, sha256_hex
+from .common import by_position, from_texts, map_texts, need, sha256_hex
 
 #: In the order in which spans of one start are listed.
 KINDS = ("assign", "access", "hex", "github", "npm", "jwt", "pem")
 BASE = KINDS[:3]
-RESULT = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
+RESULT = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 GITHUB = re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 NPM = re.compile(r"npm_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-JWT = re.compile(r"(eyJ[A-Za-z0-9_-]+)\.(eyJ[A-Za-z0-9_-]+)\.[A-Za-z0-9_-]{16,}")
+JWT = re.compile(r"(eyJ[A-Za-z0-9_-]++)\.(eyJ[A-Za-z0-9_-]++)\.[A-Za-z0-9_-]{16,}+")
+RUN = re.compile(r"[A-Za-z0-9_-]++")
 PEM = re.compile(r"-----BEGIN ([A-Z ]*PRIVATE KEY)-----((?>\s*+(?:[ \t]*+[A-Za-z][A-Za-z0-9-]*+:(?:(?!-----)[^\n])*+\n)+)?)([A-Za-z0-9+/=\s]{64,}?)-----END \1-----")
 OPENSSH = b"openssh-key-v1\0"
 DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -54,7 +52,7 @@ def _crc_fits(m: re.Match) -> bool:
 def _jwt_fits(m: re.Match) -> bool:
     try:
         head = json.loads(base64.urlsafe_b64decode(m[1] + "=" * (-len(m[1]) % 4)))
-    except (ValueError, binascii.Error):
+    except (ValueError, RecursionError):  # no base64, no JSON, or nested too deeply to be a head
         return False
     return isinstance(head, dict) and "alg" in head
 
@@ -119,10 +117,14 @@ def scan(text: str, keywords) -> list[tuple[int, int, str]]:
     out, upto = [], {}
     for end, (size, kind, form, fits) in keywords.iter(low):
         start = end - size + 1
-        if start >= upto.get(kind, 0) and (m := form.match(text, start)):
+        if start < upto.get(kind, 0):
+            continue
+        if m := form.match(text, start):
             upto[kind] = m.end()
             if fits(m):
                 out.append((start, m.end(), kind))
+        elif kind == "jwt" and (run := RUN.match(text, start)):
+            upto[kind] = run.end()  # what follows the run decides, so its later hits fail alike: each run is read once
     out += [(m.start(), m.end(), "hex") for m in HEX.finditer(text)]
     return sorted(out, key=lambda s: (s[0], KINDS.index(s[2])))
 
@@ -141,17 +143,15 @@ def mask(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
-def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _scanner():
     keywords = automaton()
-    for batch in batches:
-        rows = []
-        for text in batch["text"]:
-            spans = scan(text, keywords)
-            base = [s for s in spans if s[2] in BASE]
-            rows.append((*(sum(s[2] == k for s in base) for k in BASE), sha256_hex(joined(base).encode()), joined(spans)))
-        out = pd.DataFrame(rows, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans"])
-        out.insert(0, "doc_id", batch["doc_id"].to_numpy())
-        yield out
+
+    def row(text: str | None) -> tuple:
+        spans = scan(text or "", keywords)
+        base = [s for s in spans if s[2] in BASE]
+        return *(sum(s[2] == k for s in base) for k in BASE), sha256_hex(joined(base).encode()), joined(spans)
+
+    return lambda texts: list(map(row, texts))
 
 
 def secret_spans(docs: DataFrame) -> DataFrame:
@@ -159,26 +159,27 @@ def secret_spans(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have none (the digest is that of nothing); a null doc_id stays null; each
     repeated row has its own row in the result; an empty table gives an empty result; extra
-    columns are not read. Spans count code points, ends exclusive.
+    columns are not read. Spans count code points, ends exclusive. Equal spans of different kinds are
+    all listed. A very long text takes time in proportion to its length, and memory for itself and its spans.
     """
-    texts = need(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    return texts.mapInPandas(_scan, RESULT)
+    return from_texts(need(docs, "doc_id", "text"), _scanner, RESULT)
 
 
-def _masked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _masker():
     keywords = automaton()
-    for batch in batches:
-        batch["text"] = [None if t is None else mask(t, scan(t, keywords)) for t in batch["text"]]
-        yield batch
+    return lambda texts: [None if t is None else mask(t, scan(t, keywords)) for t in texts]
 
 
 def mask_secrets(docs: DataFrame) -> DataFrame:
-    """docs with the secrets in `text` replaced by their kinds in brackets; all columns and rows stay, nulls too.
+    """docs with the secrets in `text` replaced by their kinds in brackets.
 
-    n_chars, where there is such a column, follows the text.
+    All columns and rows stay, null and empty texts, null ids and repeated rows too; an empty table stays
+    empty; columns may have any names. Overlapping secrets go as one, by the kind that begins first, of
+    equal starts the first in KINDS. n_chars, where there is such a column, follows the text.
     """
-    out = map_texts(docs, _masked)
+    out = map_texts(docs, _masker)
     if "n_chars" in docs.columns:
-        size = F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), F.col("n_chars"))
-        out = out.withColumn("n_chars", size)
+        at, of = docs.columns.index("n_chars"), F.col(f"c{docs.columns.index('text')}")
+        size = F.coalesce(F.length(of).cast(docs.schema[at].dataType), F.col(f"c{at}"))
+        out = by_position(out).withColumn(f"c{at}", size).toDF(*docs.columns)
     return out

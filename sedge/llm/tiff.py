@@ -12,11 +12,12 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import need, sha256_hex
+from .common import by_position, from_texts, need, sha256_hex
 
 # Fixed values of the format.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
@@ -230,26 +231,31 @@ def write_pages(pages: list[np.ndarray], compression: int = DEFLATE, predictor:
     return bytes(out)
 
 
-def _pages(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for rid, data in zip(batch["rid"], batch["media"], strict=True):
-            for k, page in enumerate(read_pages(data) if data else []):
-                yield pd.DataFrame([(rid, k, page.shape[1], page.shape[0], page.shape[2], page.tobytes())], columns=["rid", "page", "width", "height", "samples", "pixels"])
-
-
 def tiff_pages(files: DataFrame, media: str = "media", key: str = "rid") -> DataFrame:
     """One row per page of the files' TIFF bytes: key, page (from 0), width, height, samples, pixels.
 
-    Null or empty bytes have no pages. A repeated row gives its pages again. Other columns are not
-    read. Bytes that aren't a TIFF of 8-bit samples fail the query, with the reason.
+    Null or empty bytes have no pages, and an empty table has none. A repeated row gives its pages
+    again; a null key stays null. Other columns, whatever their names, are not read. Bytes that aren't a TIFF of
+    8-bit samples fail the query, with the reason. A task holds one file's pages at a time.
     """
-    kind = files.schema[key].dataType.simpleString()
-    rows = need(files, key, media).toDF("rid", "media").mapInPandas(_pages, f"rid {kind}, {PAGE}")
-    return rows.withColumnRenamed("rid", key)
+    rows = by_position(need(files, key, media))
+    schema = T.StructType([rows.schema[0], *T.DataType.fromDDL(PAGE).fields])
+    types = list(to_arrow_schema(schema).types)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, data in enumerate(batch.column(1)):
+                pages = read_pages(data.as_py()) if data.is_valid and len(data.as_py()) else []
+                if pages:
+                    found = zip(*((k, p.shape[1], p.shape[0], p.shape[2], p.tobytes()) for k, p in enumerate(pages)), strict=True)
+                    arrays = [batch.column(0).take(pa.array([i] * len(pages))), *(pa.array(x, t) for x, t in zip(found, types[1:], strict=True))]
+                    yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return rows.mapInArrow(run, schema).withColumnRenamed("c0", key)
 
 
 UNIT, ROW = 192, 64  # a row of 64 pixels of three samples
-RESULT = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+RESULT = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def payload_of(text: str) -> bytes:
@@ -269,17 +275,15 @@ def feature(page: np.ndarray) -> str:
     return f"{page.shape[1]}x{page.shape[0]}x{page.shape[2]};mean={'/'.join(map(str, means))};step={'/'.join(map(str, steps))}"
 
 
-def _through_media(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-            media = to_media(payload_of(text))
-            (page,) = read_pages(media)
-            back = page.tobytes()
-            rows.append((doc_id, len(text.encode()), len(back), sha256_hex(back), zlib.crc32(back[-16:]), len(media), sha256_hex(media), feature(page)))
-        out = pd.DataFrame(rows, columns=[c.split()[0] for c in RESULT.split(", ")])
-        out["doc_id"] = out["doc_id"].astype("Int64")
-        yield out
+def _through_media(texts: list[str | None]) -> list[tuple]:
+    rows = []
+    for text in texts:
+        payload = payload_of(text or "")
+        media = to_media(payload)
+        (page,) = read_pages(media)
+        back = page.tobytes()
+        rows.append((len((text or "").encode()), len(back), sha256_hex(back), zlib.crc32(back[-16:]), len(media), sha256_hex(media), feature(page)))
+    return rows
 
 
 def text_media(docs: DataFrame) -> DataFrame:
@@ -287,7 +291,6 @@ def text_media(docs: DataFrame) -> DataFrame:
 
     Null and empty texts are one row of blanks; a null doc_id stays null; each repeated row has its
     own row in the result, with equal values; an empty table gives an empty result; extra columns
-    are not read.
+    are not read. A very long text is one tall page: memory goes with its length.
     """
-    texts = need(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    return texts.mapInPandas(_through_media, RESULT)
+    return from_texts(need(docs, "doc_id", "text"), lambda: _through_media, RESULT)

@@ -20,14 +20,15 @@ from collections.abc import Iterator
 
 import pandas as pd
 import public_tokenizers
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import RecentCache, materialise, need
+from .common import Memo, frequent, from_texts, materialise, need
 from .pretokens import ODD, pieces, spaced
 
 HEAVY, HEAVY_CHARS = 1 << 18, 48
-FLUSH = 300_000
+#: Different cuts and pre-tokens, or characters of text, that a task counts before it passes them on.
+FLUSH, FLUSH_CHARS = 200_000, 32_000_000
 
 
 def _segments(text: str, special: list[str]) -> tuple[list[str], int]:
@@ -65,8 +66,10 @@ def _corpus_pretokens(path: str):
             whole.clear()
             return out
 
+        passed = 0
         for batch in batches:
             for text in batch["text"]:
+                passed += len(text)
                 for part in _segments(text, special)[0]:
                     if ODD.search(part):
                         whole.update(pieces(part))
@@ -74,7 +77,8 @@ def _corpus_pretokens(path: str):
                         first, *rest = part.split(" ")
                         whole.update(pieces(first))
                         loose.update(rest)
-                if len(loose) + len(whole) > FLUSH:
+                if len(loose) + len(whole) > FLUSH or passed > FLUSH_CHARS:
+                    passed = 0
                     yield flush()
         if loose or whole:
             yield flush()
@@ -100,88 +104,77 @@ def _count_pieces(path: str):
 
 
 def _document_counts(path: str, heavy):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def start():
         special, known = _special(_tokenizer(path)), heavy.value
 
         def value(cut: str):
             found = spaced(cut)
-            rest = tuple(p for p in found if p not in known)
-            return sum(known.get(p, 0) for p in found), rest
-
-        cache = RecentCache(value, 150_000)
-        for batch in batches:
-            sums, rests, freqs_of = [], [], []
-            for text in batch["text"]:
-                parts, total = _segments(text, special)
-                rest = Counter()
-                for part in parts:
-                    if ODD.search(part):
-                        own = Counter(pieces(part))
-                    else:
-                        first, *others = part.split(" ")
-                        own = Counter(pieces(first))
-                        for cut, n in Counter(others).items():
-                            k, more = cache.get(cut)
-                            total += n * k
-                            for p in more:
-                                rest[p] += n
-                    for p, n in own.items():
-                        if p in known:
-                            total += n * known[p]
-                        else:
+            return sum(known.get(p, 0) for p in found), tuple(p for p in found if p not in known)
+
+        cache = Memo(value, 150_000)
+
+        def row(text: str | None) -> tuple[int, list[str], list[int]]:
+            parts, total = _segments(text or "", special)
+            rest = Counter()
+            for part in parts:
+                if ODD.search(part):
+                    own = Counter(pieces(part))
+                else:
+                    first, *others = part.split(" ")
+                    own = Counter(pieces(first))
+                    for cut, n in Counter(others).items():
+                        k, more = cache[cut]
+                        total += n * k
+                        for p in more:
                             rest[p] += n
-                sums.append(total)
-                rests.append(list(rest))
-                freqs_of.append(list(rest.values()))
-            yield pd.DataFrame({"rid": batch["rid"], "doc_id": batch["doc_id"], "n_bytes": batch["n_bytes"], "known": sums, "pretokens": rests, "freqs": freqs_of})
+                for p, n in own.items():
+                    if p in known:
+                        total += n * known[p]
+                    else:
+                        rest[p] += n
+            return total, list(rest), list(rest.values())
 
-    return run
+        return lambda texts: list(map(row, texts))
 
+    return start
 
-def _heavy_pieces(counted: DataFrame, most: int, chars: int) -> tuple[dict, int]:
-    """Pieces of the most frequent pre-tokens, and the frequency from which they are in it."""
-    short = counted.where(F.length("pretoken") <= chars)
-    level = F.floor(F.log2("freq") * 16).cast("int")
-    levels = sorted(short.groupBy(level.alias("level")).count().collect(), reverse=True)
-    total, least = 0, None
-    for row in levels:
-        total += row["count"]
-        if total > most:
-            break
-        least = row["level"]
-    if least is None:
-        return {}, 1 << 62
-    table = short.where(level >= least).select("pretoken", "n_pieces").toArrow()
-    return dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True)), least
+
+def _heavy_pieces(short: DataFrame, most: int) -> tuple[dict[str, int], Column]:
+    """Pieces of the most frequent of the short pre-tokens, and the condition that holds for these."""
+    often = frequent(short, F.col("freq"), most)
+    if often is None:
+        return {}, F.lit(False)
+    table = short.where(often).select("pretoken", "n_pieces").toArrow()
+    return dict(zip(table.column(0).to_pylist(), table.column(1).to_pylist(), strict=True)), often
 
 
 def token_counts(docs: DataFrame, tokenizer_path: str | None = None, limit: int = 1024, heavy: int = HEAVY) -> DataFrame:
     """doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit) of each row of docs (doc_id, text).
 
     Null and empty texts count 0 bytes and 0 tokens; a null doc_id stays null; each repeated row
-    has its own row in the result; an empty table gives an empty result; extra columns are not
-    read. Strings of special tokens inside a text count as one token, the library's default.
+    has its own row in the result; an empty table gives an empty result; extra columns, whatever their names, are not
+    read. Strings of special tokens inside a text count as one token, the library's default. Of a very
+    long text a task holds the text and its distinct pre-tokens.
     """
     spark = docs.sparkSession
     path = tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
-    texts = need(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
+    texts = need(docs, "doc_id", "text")
     corpus = (
-        texts.select("text")
+        texts.where("text is not null")
+        .select("text")
         .mapInPandas(_corpus_pretokens(path), "pretoken string, freq long")
         .groupBy("pretoken")
         .agg(F.sum("freq").alias("freq"))
     )
     counted = materialise(corpus.mapInPandas(_count_pieces(path), "pretoken string, freq long, n_pieces long"))
-    known, least = _heavy_pieces(counted, heavy, HEAVY_CHARS)
+    short = F.length("pretoken") <= HEAVY_CHARS
+    known, often = _heavy_pieces(counted.where(short), heavy)
     shared = spark.sparkContext.broadcast(known)
-    passed = materialise(
-        texts.withColumn("rid", F.monotonically_increasing_id())
-        .withColumn("n_bytes", F.octet_length("text").cast("long"))
-        .mapInPandas(_document_counts(path, shared), "rid long, doc_id long, n_bytes long, known long, pretokens array<string>, freqs array<long>")
-    )
+    rows = texts.select("doc_id", "text", F.monotonically_increasing_id().alias("rid"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
+    passed = materialise(from_texts(rows, _document_counts(path, shared), "known long, pretokens array<string>, freqs array<long>"))
     shared.destroy()
     rest = passed.select("rid", F.inline(F.arrays_zip(F.col("pretokens").alias("pretoken"), F.col("freqs").alias("freq")))).toDF("rid", "pretoken", "freq").join(
-        counted.where((F.floor(F.log2("freq") * 16) < least) | (F.length("pretoken") > HEAVY_CHARS)).select("pretoken", "n_pieces"), "pretoken"
+        counted.where(~(often & short)).select("pretoken", "n_pieces"), "pretoken"
     )
     sums = rest.groupBy("rid").agg(F.sum(F.col("freq") * F.col("n_pieces")).alias("more"))
     n_tokens = F.col("known") + F.coalesce("more", F.lit(0))

@@ -2,11 +2,12 @@
 
 Vectors are packed into blocks that hold one dimension after the other (vertical layout). A task
 takes a block of candidates and a block of queries and adds up inner products a few dimensions at
-a time, those of the largest query mass first. After each step a candidate's score can change by
-at most the product of the two remaining masses (Cauchy-Schwarz), so a candidate whose upper
-bound is under the k-th best lower bound is dropped, and the columns of the survivors are
-compacted. What survives all steps has its exact score. Each pair of blocks gives k rows per
-query; a window over these, small, rows ranks them.
+a time, those of the largest mass over the block's queries first. After each step the k candidates
+with the highest sums get their exact scores, of which the k-th is a threshold. A candidate's score can
+still change by at most the product of the two remaining masses (Cauchy-Schwarz): where that can't
+reach the threshold it is dropped, and the columns of the survivors are compacted. What survives
+all steps has its exact score. Each pair of blocks gives k rows per query; a window over these,
+small, rows ranks them.
 """
 
 from __future__ import annotations
@@ -20,7 +21,9 @@ from pyspark.sql import functions as F
 
 from .common import need
 
-CANDIDATES, QUERIES, STEP, CUTS = 8192, 512, 16, 8
+CANDIDATES, QUERIES, STEP = 4096, 512, 8
+#: Candidates that a key of the join holds, so how often the queries are sent; keys at least.
+CUT, CUTS = 1 << 17, 32
 RESULT = "query_id long, rank int, vec_id long, score long"
 
 
@@ -63,35 +66,32 @@ def _exact(query: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     return query @ matrix
 
 
-def search_block(ids: np.ndarray, matrix: np.ndarray, query_id: int, query: np.ndarray, k: int, step: int = STEP, floats: np.ndarray | None = None, mass: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """ids and scores of the k best candidates of a block, ties to smaller ids.
+def search_block(ids: np.ndarray, matrix: np.ndarray, query_id: int, query: np.ndarray, k: int, floats: np.ndarray, mass: np.ndarray, step: int = STEP) -> tuple[np.ndarray, np.ndarray, list[int]]:
+    """ids and scores of the k best candidates of a block, ties to smaller ids, and how many survived each step.
 
-    matrix: int64, a row for each dimension. floats, mass: the same in doubles and the running
-    sums of its squares from the last dimension back, if the caller keeps them.
+    matrix: int64, a row for each dimension, the query's in the same order. floats: the same in doubles;
+    mass: the running sums of its squares from the last dimension back.
     """
     d = len(query)
-    if floats is None:
-        floats = matrix.astype(float)
-    if mass is None:
-        mass = np.vstack([np.cumsum((floats**2)[::-1], axis=0)[::-1], np.zeros((1, len(ids)))])
     q = query.astype(float)
     rest = np.sqrt(np.append(np.cumsum((q**2)[::-1])[::-1], 0.0))
-    alive = np.flatnonzero(ids != query_id)
+    alive, survivors, threshold = np.flatnonzero(ids != query_id), [], -np.inf
     part = np.zeros(len(alive))
     for at in range(0, d, step):
         to = min(d, at + step)
-        block = floats[at:to] if len(alive) == len(ids) else floats[at:to, alive]
-        part = part + q[at:to] @ block
+        part = part + q[at:to] @ (floats[at:to] if len(alive) == len(ids) else floats[at:to, alive])
         if to < d and len(alive) > k:
+            seeds = alive[np.argpartition(part, len(part) - k)[len(part) - k :]]
+            threshold = max(threshold, float(_exact(query, matrix[:, seeds]).min()))
             slack = rest[to] * np.sqrt(mass[to, alive])
-            slack = slack * (1 + 1e-9) + np.abs(part) * 1e-9 + 1e-6
-            least = np.partition(part - slack, len(alive) - k)[len(alive) - k]
-            keep = part + slack >= least
+            # the margins cover the rounding of doubles
+            keep = part + slack * (1 + 1e-9) + np.abs(part) * 1e-9 + 1e-6 >= threshold - abs(threshold) * 1e-9
             if not keep.all():
                 alive, part = alive[keep], part[keep]
+        survivors.append(len(alive))
     score = _exact(query, matrix[:, alive])
     best = np.lexsort((ids[alive], -score))[:k]
-    return ids[alive][best], score[best]
+    return ids[alive][best], score[best], survivors
 
 
 def _search(k: int):
@@ -101,9 +101,11 @@ def _search(k: int):
                 ids, q_ids = np.frombuffer(ids, np.int64), np.frombuffer(q_ids, np.int64)
                 matrix = np.frombuffer(matrix, np.int64).reshape(d, len(ids))
                 queries = np.frombuffer(queries, np.int64).reshape(d, len(q_ids))
+                order = np.argsort(-(queries.astype(float) ** 2).sum(axis=1), kind="stable")
+                matrix, queries = np.ascontiguousarray(matrix[order]), queries[order]
                 floats = matrix.astype(float)
                 mass = np.vstack([np.cumsum((floats**2)[::-1], axis=0)[::-1], np.zeros((1, len(ids)))])
-                out = [(q, *search_block(ids, matrix, q, queries[:, j], k, floats=floats, mass=mass)) for j, q in enumerate(q_ids)]
+                out = [(q, *search_block(ids, matrix, q, queries[:, j], k, floats, mass)) for j, q in enumerate(q_ids)]
                 yield pd.DataFrame(
                     {
                         "query_id": np.repeat(q_ids, [len(o[1]) for o in out]),
@@ -122,22 +124,23 @@ def exact_topk(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 256
     hold null or non-finite components, take no part, nor do rows without vec_id. A query meets
     the vectors of its own length only, never those of its own vec_id. A vec_id in several rows is
     a candidate by each of them and one query, ranked over the scores of all its different vectors.
-    Ties go to smaller vec_ids. An empty table gives an empty result; extra columns are not read.
+    Ties go to smaller vec_ids. An empty table gives an empty result; extra columns, whatever their names, are not read.
 
-    Queries are dealt to groups of about `query_block`, candidates to blocks of up to `block`; each
-    group meets each block once, in CUTS * groups keys of an equi-join.
+    Queries are dealt to groups of about `query_block`, candidates to blocks of up to `block`, and the blocks
+    to cuts of about CUT candidates. A candidate is shuffled once; the queries, a fiftieth of the rows, once to each
+    cut, where each group meets each block.
     """
     rows = quantised(vectors, scale)
     is_query = F.pmod("vec_id", F.lit(every)) == 0
-    groups = max(1, -(-need(vectors, "vec_id").where(is_query).count() // query_block))
+    sizes = need(vectors, "vec_id").agg(F.count("*"), F.count(F.when(is_query, 1))).first()
+    groups, cuts = max(1, -(-sizes[1] // query_block)), max(CUTS, -(-sizes[0] // CUT))
     blocks = "group int, dim int, ids binary, matrix binary"
     candidates = rows.withColumn("group", F.lit(0)).mapInPandas(_pack(block), blocks).drop("group")
-    candidates = candidates.withColumn("cut", F.pmod(F.xxhash64("ids"), F.lit(CUTS)).cast("int"))
+    candidates = candidates.withColumn("cut", F.pmod(F.xxhash64("ids"), F.lit(cuts)).cast("int"))
     asked = rows.where(is_query).distinct().withColumn("group", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int"))
     asked = asked.repartition("group").mapInPandas(_pack(2 * query_block), blocks)
-    asked = asked.select("group", "dim", F.col("ids").alias("q_ids"), F.col("matrix").alias("queries"))
-    left = candidates.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    right = asked.withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(CUTS - 1))))
-    found = left.join(right, ["group", "cut", "dim"]).select("dim", "ids", "matrix", "q_ids", "queries").mapInPandas(_search(k), "query_id long, vec_id long, score long")
+    asked = asked.select("dim", F.col("ids").alias("q_ids"), F.col("matrix").alias("queries"))
+    asked = asked.withColumn("cut", F.explode(F.sequence(F.lit(0), F.lit(cuts - 1))))
+    found = candidates.join(asked, ["cut", "dim"]).select("dim", "ids", "matrix", "q_ids", "queries").mapInPandas(_search(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -2,24 +2,33 @@
 
 Rules decide first, by columns alone. For the rest, concatenated host names are split by the most
 likely sequence of words (unigram Viterbi), and a multinomial naive Bayes model scores the words of
-host and path. Word frequencies come from the hosts and paths of the whole table, each distinct
-host counted once; the VOCABULARY most frequent words are kept, which bounds what tasks hold.
+host and path. Both models are learnt from the whole table, by aggregations that count each different host once.
+
+- Words for the splits: those that stand alone, in paths and beside hyphens, and the seeds. Each run of letters
+  of a host meets the words that are in it by a join of its substrings, so no vocabulary is cut.
+- Classes: hosts whose words hold more BLOCK_WORDS than ALLOW_WORDS count as blocked, those with fewer as
+  allowed, and all others by what the model says of them, in ROUNDS rounds of expectation and maximisation.
+  P(word | class) is interpolated with the frequency of the word in both, so a word that tells nothing, however
+  rare it is, has even odds, and one strong word outweighs the prior.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import RecentCache, need
+from .common import frequent, materialise, need
 
-VOCABULARY, LONGEST = 50_000, 24
+#: The limits of DNS: characters of a label, so of a word, and of a host name; longer runs of letters stay one word.
+LONGEST, NAME = 63, 253
+#: Rounds of learning; share of a word's frequency in both classes in its probability in either; odds before any word is seen.
+ROUNDS, SHARED, PRIOR = 2, 0.2, math.log(0.1 / 0.9)
+#: Rows of words or hosts up to which they are broadcast (some 100 bytes each in the JVM).
+FEW = 200_000
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 # Words that name what training data leaves out, and words of ordinary sites. Labels that say
@@ -39,10 +48,6 @@ research review school science society staff story street student study support
 web wiki world
 """.split()
 TOP_LEVEL = frozenset("com net org edu gov info io co uk de fr es eu".split())
-#: Log odds of the classes before any word is seen.
-PRIOR = math.log(0.2 / 0.8)
-
-LETTERS = re.compile(r"[a-z]+")
 CAPITALS, SMALL = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -65,96 +70,124 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-class Segmenter:
-    """The most likely split of a run of letters into known words; unknown runs cost by their length."""
-
-    def __init__(self, counts: dict[str, int]):
-        self.total = sum(counts.values()) or 1
-        self.words = {w: math.log(n / self.total) for w, n in counts.items()}
-        self.split = RecentCache(self._split, 100_000)
-
-    def _cost(self, word: str) -> float:
-        found = self.words.get(word)
-        return found if found is not None else -math.log(10 * self.total) - 2.5 * len(word)
-
-    def _split(self, run: str) -> tuple[str, ...]:
-        best, back = [0.0], [0]
-        for end in range(1, len(run) + 1):
-            choices = [(best[start] + self._cost(run[start:end]), start) for start in range(max(0, end - LONGEST), end)]
-            top, start = max(choices, key=lambda c: (c[0], -c[1]))
-            best.append(top)
-            back.append(start)
-        out, end = [], len(run)
-        while end:
-            out.append(run[back[end] : end])
-            end = back[end]
-        return tuple(out[::-1])
-
-
-class NaiveBayes:
-    """Log odds of block to allow; words of neither class say nothing."""
-
-    def __init__(self, block: list[str], allow: list[str]):
-        b, a = Counter(block), Counter(allow)
-        v = len(b | a)
-        self.odds = {w: math.log((b[w] + 1) / (sum(b.values()) + v)) - math.log((a[w] + 1) / (sum(a.values()) + v)) for w in b | a}
-
-    def __call__(self, words) -> float:
-        return PRIOR + sum(self.odds.get(w, 0.0) for w in words)
-
-
-def _words_of_path(path: str) -> list[str]:
-    return LETTERS.findall(path.lower())
-
-
-def _judge(counts: dict[str, int]):
+def best_split(run: str, counts: dict[str, int], total: int) -> list[str]:
+    """The most likely split of a run of letters into known words; unknown ones cost by their length, ties go to the longer first word."""
+    if len(run) > NAME:
+        return [run]
+    costs = {w: -math.log(n / total) for w, n in counts.items()}
+    unknown = math.log(10 * total)
+    best, back = [0.0], [0]
+    for end in range(1, len(run) + 1):
+        choices = []
+        for start in range(end):
+            word = run[start:end]
+            choices.append((best[start] + (costs[word] if word in costs else unknown + 2.5 * len(word)), start))
+        least, start = min(choices)
+        best.append(least)
+        back.append(start)
+    out, end = [], len(run)
+    while end:
+        out.append(run[back[end] : end])
+        end = back[end]
+    return out[::-1]
+
+
+def _substrings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for run in batch["run"]:
+            words = sorted({run[a:b] for a in range(len(run)) for b in range(a + 1, min(len(run), a + LONGEST) + 1)})
+            yield pd.DataFrame({"run": run, "word": words})
+
+
+def _splits(total: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        split, bayes = Segmenter(counts), NaiveBayes(BLOCK_WORDS, ALLOW_WORDS)
-
-        def host_words(host: str) -> tuple[str, ...]:
-            labels = host.split(":")[0].split(".")
-            while labels and labels[-1] in TOP_LEVEL:
-                labels.pop()
-            return tuple(w for label in labels for run in LETTERS.findall(label) for w in split.split.get(run))
-
-        hosts = RecentCache(host_words, 100_000)
         for batch in batches:
-            words = [hosts.get(h) for h in batch["host"]]
-            odds = [bayes((*w, *_words_of_path(p))) for w, p in zip(words, batch["path"], strict=True)]
-            batch["words"] = [" ".join(w) for w in words]
-            batch["odds"] = odds
-            batch["verdict"] = [v if v is not None else "block" if o > 0 else "allow" for v, o in zip(batch["verdict"], odds, strict=True)]
-            yield batch[["page_id", "host", "path", "rule", "verdict", "words", "odds"]]
+            words = [best_split(r, {k["word"]: k["n"] for k in known} if known is not None else {}, total) for r, known in zip(batch["run"], batch["known"], strict=True)]
+            yield pd.DataFrame({"run": batch["run"], "words": words})
 
     return run
 
 
-def word_counts(parts: DataFrame, most: int = VOCABULARY) -> dict[str, int]:
-    """The most frequent words of hosts and paths, each distinct host counted once, and the classes' words."""
-    runs = lambda c: F.explode(F.split(F.lower(c), "[^a-z]+"))
-    words = parts.select("host").distinct().select(runs("host").alias("word")).union(parts.select(runs("path").alias("word")))
-    counts = words.where("word <> '' and length(word) <= 24").groupBy("word").count()
-    found = Counter({r["word"]: r["count"] for r in counts.orderBy(F.desc("count"), "word").limit(most).collect()})
-    known = set(BLOCK_WORDS + ALLOW_WORDS)
-    # names that are two or more known words stuck together aren't words of their own
-    alone = Segmenter({w: 1 for w in known})
-    glued = [w for w in found if w not in known and all(p in known for p in alone._split(w))]
-    for w in glued:
-        del found[w]
-    mid = max(1, sum(found.values()) // max(1, len(found)))
-    return dict(found | {w: max(found[w], mid) for w in known})
-
-
-def judge_urls(pages: DataFrame, rules=RULES, vocabulary: int = VOCABULARY) -> DataFrame:
+def _runs(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit("([a-z]+)"))
+
+
+def _seeds(spark) -> DataFrame:
+    return spark.createDataFrame([(w, k) for k, words in ((1, BLOCK_WORDS), (0, ALLOW_WORDS)) for w in words], "word string, block int")
+
+
+def split_hosts(hosts: DataFrame, path_words: DataFrame) -> DataFrame:
+    """host and its words in order, for different hosts; path_words (host, word) are the different words of each host's paths."""
+    spark = hosts.sparkSession
+    name = F.regexp_replace(F.split("host", ":")[0], rf"(\.({'|'.join(sorted(TOP_LEVEL))}))+$", "")
+    names = hosts.select("host", name.alias("name"))
+    alone = names.select("host", F.explode(F.regexp_extract_all("name", F.lit("((?<=-)[a-z]+|[a-z]+(?=-))"))).alias("word")).distinct()
+    known = path_words.unionByName(alone).groupBy("word").agg(F.count("*").alias("n"))
+    known = known.unionByName(_seeds(spark).select("word", F.lit(1).cast("long").alias("n"))).groupBy("word").agg(F.sum("n").alias("n"))
+    known = materialise(known.where(F.length("word") <= LONGEST))
+    total = known.agg(F.sum("n")).first()[0]
+    runs = names.select("host", F.posexplode(_runs(F.col("name"))).alias("at", "run"))
+    different = materialise(runs.select("run").distinct())
+    found = different.where(F.length("run") <= NAME).mapInPandas(_substrings, "run string, word string").join(known, "word")
+    found = found.groupBy("run").agg(F.collect_list(F.struct("word", "n")).alias("known"))  # a run's own substrings: NAME * LONGEST at most
+    split = different.join(found, "run", "left").mapInPandas(_splits(total), "run string, words array<string>")
+    words = runs.join(split, "run").groupBy("host").agg(F.sort_array(F.collect_list(F.struct("at", "words"))).alias("parts"))
+    return hosts.join(words, "host", "left").select("host", F.coalesce(F.flatten("parts.words"), F.array().cast("array<string>")).alias("words"))
+
+
+def word_odds(host_words: DataFrame, path_words: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    """word, n and odds: log odds of block to allow, learnt from different hosts (host, words) and their paths' words."""
+    spark = host_words.sparkSession
+    seeds = materialise(_seeds(spark))
+    named = host_words.select("host", F.explode(F.array_distinct("words")).alias("word"))
+    tokens = materialise(named.unionByName(path_words).distinct())
+    marks = named.join(F.broadcast(seeds), "word").groupBy("host").agg(F.sum(2 * F.col("block") - 1).alias("mark")).where("mark <> 0")
+    marks = materialise(marks.select("host", (F.col("mark") > 0).cast("double").alias("fixed")))
+    odds = None
+    for _ in range(rounds + 1):
+        p = tokens.select("host").distinct().join(marks, "host", "left").withColumn("p", F.lit(math.exp(PRIOR) / (1 + math.exp(PRIOR))))
+        if odds is not None:
+            z = tokens.join(odds.select("word", "odds"), "word").groupBy("host").agg((F.sum("odds") + PRIOR).alias("z"))
+            p = p.join(z, "host", "left").withColumn("p", 1 / (1 + F.exp(-F.coalesce("z", F.lit(PRIOR)))))
+        p = p.select("host", F.coalesce("fixed", "p").alias("p"))
+        counts = tokens.join(p, "host").groupBy("word").agg(F.sum("p").alias("b"), F.sum(1 - F.col("p")).alias("a"), F.count("*").alias("n"))
+        own = seeds.select("word", F.col("block").cast("double").alias("b"), (1 - F.col("block")).cast("double").alias("a"), F.lit(1).cast("long").alias("n"))
+        counts = materialise(counts.unionByName(own).groupBy("word").agg(F.sum("b").alias("b"), F.sum("a").alias("a"), F.sum("n").alias("n")))
+        blocked, allowed, n = counts.agg(F.sum("b"), F.sum("a"), F.sum("n")).first()
+        of = lambda c, size: (1 - SHARED) * F.col(c) / size + SHARED * F.col("n") / n  # noqa: E731, B023
+        odds = materialise(counts.select("word", "n", F.log(of("b", blocked) / of("a", allowed)).alias("odds")))
+    return odds
+
+
+def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, words and log odds of each row of pages (page_id, url).
 
     Null urls, and urls without `://`, have an empty host and path and are allowed, as no word speaks
-    against them; a null page_id stays null; each repeated row has its own row in the result; an empty
-    table gives an empty result; extra columns are not read.
+    against them; odds of exactly 0 allow. A null page_id stays null; each repeated row has its own row in the result; an
+    empty table gives an empty result; extra columns, whatever their names, are not read. Host names of over NAME
+    letters in a run, which DNS doesn't allow, aren't split; paths may be of any length.
     """
     host, path = url_parts(F.col("url"))
-    parts = need(pages, "page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    ruled = parts.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
-    counts = word_counts(parts, vocabulary)
-    return ruled.mapInPandas(_judge(counts), "page_id long, host string, path string, rule string, verdict string, words string, odds double")
+    parts = need(pages, "page_id", "url").select("page_id", host.alias("host"), path.alias("path"))
+    parts = materialise(parts.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("verdict"), F.monotonically_increasing_id().alias("rid")))
+    of_path = _runs(F.lower("path"))
+    path_words = materialise(parts.select("host", F.explode(F.array_distinct(of_path)).alias("word")).distinct())
+    host_words = materialise(split_hosts(materialise(parts.select("host").distinct()), path_words))
+    odds = word_odds(host_words, path_words)
+    few = lambda table: F.broadcast(table) if table.count() <= FEW else table
+    scores = host_words.select("host", F.explode("words").alias("word")).join(odds, "word").groupBy("host").agg(F.sum("odds").alias("of_host"))
+    scored = materialise(host_words.join(scores, "host", "left").select("host", F.concat_ws(" ", "words").alias("words"), F.coalesce("of_host", F.lit(0.0)).alias("of_host")))
+    # the most frequent words of paths meet their odds without a shuffle, so that no key of the join below is hot
+    often = frequent(odds, F.col("n"), FEW)
+    often = F.lit(False) if often is None else often
+    paths = parts.select("rid", F.explode(of_path).alias("word"))
+    light = odds.where(~often).select("word", "odds")
+    sums = paths.join(F.broadcast(odds.where(often).select("word", "odds")), "word")
+    if light.limit(1).count():
+        sums = sums.unionByName(paths.join(F.broadcast(odds.where(often).select("word")), "word", "left_anti").join(light, "word").select("word", "rid", "odds"))
+    sums = sums.groupBy("rid").agg(F.sum("odds").alias("of_path"))
+    out = parts.join(sums, "rid", "left").join(few(scored), "host")
+    total = F.round(F.lit(PRIOR) + F.col("of_host") + F.coalesce("of_path", F.lit(0.0)), 9)
+    learnt = F.when(total > 0, "block").otherwise("allow")
+    return out.select("page_id", "host", "path", "rule", F.coalesce("verdict", learnt).alias("verdict"), "words", total.alias("odds"))

@@ -3,11 +3,13 @@
 import base64
 import hashlib
 import itertools
+import math
 import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import plain
 import public_tokenizers as P
 import pytest
 
@@ -163,6 +165,21 @@ def test_toxicity_on_held_out_rows(spark):
     assert {r.score for r in toxicity_scores(docs.limit(5), labels.limit(0)).collect()} == {0.0}
 
 
+@pytest.mark.parametrize("heavy", [1 << 20, 60, 0])
+def test_toxicity_against_a_plain_version(spark, heavy):
+    own = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    docs = own.unionByName(spark.createDataFrame([(i, t) for i, t in ODD if i != 900008], "doc_id long, text string"))
+    labels = spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "toxic")
+    # several labels of one document, labels of none, and a null
+    labels = labels.unionByName(spark.createDataFrame([(1, 1), (1, 0), (123456, 1), (None, 1), (2, None)], "doc_id long, toxic int"))
+    want = plain.toxicity({r.doc_id: r.text for r in docs.collect()}, [tuple(r) for r in labels.collect()])
+    got = {r.doc_id: r for r in toxicity_scores(docs, labels, heavy=heavy).collect()}
+    assert got.keys() == want.keys()
+    for i, r in got.items():
+        assert math.isclose(r.score, want[i], rel_tol=1e-4, abs_tol=1e-6) and r.predicted == (r.score >= 0.3)
+        assert r.held_out == (i is not None and zlib.crc32(str(i).encode()) % 4 == 2)
+
+
 @pytest.mark.parametrize("compression, predictor, tile, order", itertools.product((1, 5, 8, 32773), (1, 2), (None, (16, 32)), "<>"))
 def test_tiff_round_trips(compression, predictor, tile, order):
     rng = np.random.default_rng(1)

@@ -1,11 +1,10 @@
 """The pipeline's stages on odd tables, and the whole pipeline against a plain version of it."""
 
-import itertools
-import re
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import plain
 import public_tokenizers as P
 import pytest
 
@@ -53,52 +52,15 @@ def test_stages_on_empty_tables(spark):
     assert near_duplicates(docs).count() == 0 and secret_spans(docs).count() == 0
 
 
-def plain_shingles(text, words):
-    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return frozenset(tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))) if w else frozenset()
-
-
 def plain_dedup(docs):
-    """The smallest id of each component, by comparing all pairs."""
-    sets, root = {i: plain_shingles(t, 5) for i, t in docs.items()}, {i: i for i in docs}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for i, j in itertools.combinations(sorted(docs), 2):
-        a, b = sets[i], sets[j]
-        if a and b and 100 * len(a & b) >= 80 * len(a | b):
-            low, high = sorted((find(i), find(j)))
-            root[high] = low
-    return {i: t for i, t in docs.items() if find(i) == i}
-
-
-def plain_models(docs, marks, folds):
-    """Class-conditional counts of one pass over the texts; contexts count once in each of the two folds, as in the operator."""
-    pairs = Counter()
-    words = toxicity.Words(toxicity.BITS)
-    for i, toxic in marks.items():
-        if docs.get(i) is not None and (zlib.crc32(str(i).encode()) % 4 == 3) in folds:
-            w = words(docs[i]).tolist()
-            fold = zlib.crc32(str(i).encode()) % 4 == 3
-            pairs.update((fold, toxic, a, b) for a, b in zip([0, *w], w))
-    counts = np.zeros((2, 2, 1 << toxicity.BITS), np.float32)
-    for (_, toxic, a, b), n in pairs.items():
-        counts[0, toxic, b] += 1
-        counts[1, toxic, toxicity.pair_bucket(np.array([a]), np.array([b]), toxicity.BITS)[0]] += n
-    return toxicity._models(toxicity.BITS, counts)
+    """The smallest id of each component."""
+    ids = sorted(docs)
+    root = plain.linked([plain.shingles(docs[i], 5) for i in ids])
+    return {i: docs[i] for k, i in enumerate(ids) if root[k] == k}
 
 
 def plain_clean(docs, labels):
-    marks = {r.doc_id: r.toxic for r in labels.collect() if r.toxic is not None and zlib.crc32(str(r.doc_id).encode()) % 4 != 2}
-    first, final = plain_models(docs, marks, {False}), plain_models(docs, marks, {False, True})
-    words = toxicity.Words(toxicity.BITS)
-    fit = [(first.features(words(docs[i])), t) for i, t in marks.items() if zlib.crc32(str(i).encode()) % 4 == 3 and docs.get(i) is not None]
-    if len({t for _, t in fit}) == 2:
-        final.curve = toxicity.fit_curve(np.array([f for f, _ in fit]), np.array([t for _, t in fit], float))
-    score = {i: final.score(np.array([final.features(words(t))]))[0] for i, t in docs.items()}
+    score = plain.toxicity(docs, [(r.doc_id, r.toxic) for r in labels.collect()])
     return {i: t for i, t in docs.items() if score[i] < toxicity.THRESHOLD}
 
 
