@@ -63,6 +63,9 @@ class Expr:
         own = self._kind == "window" and self._name not in ("min_rank", "dense_rank", "percent_rank") or self._kind == "agg" and self._name in ("first", "last")
         return own or any(p.ordered() for p in self._parts)
 
+    def uses(self, aggregate: str) -> bool:
+        return self._kind == "agg" and self._name == aggregate or any(p.uses(aggregate) for p in self._parts)
+
     def columns(self) -> set[str]:
         own = {self._name} if self._kind == "col" else set()
         return own.union(*[p.columns() for p in self._parts])
@@ -218,6 +221,63 @@ def column(name: str) -> Expr:
     return Expr(build, f"col.{name}", (), "col", name)
 
 
+#: Methods that need a type, by what they need.
+_OF_TYPE = {
+    "number": ("mean", "median", "sum", "std", "var", "abs", "round", "floor", "ceiling", "log", "exp", "sqrt"),
+    "text": ("str_detect", "str_replace", "str_to_lower", "str_to_upper", "str_len"),
+    "time": ("year", "month", "day"),
+}
+
+
+class _Typed(Expr):
+    """A column whose type is known: what doesn't fit the type fails where it is written, before any verb sees it."""
+
+    fits: tuple[str, ...] = ()
+    also: tuple[str, ...] = ()
+
+    def __init__(self, name: str):
+        plain = column(name)
+        super().__init__(plain._build, plain._text, (), "col", name)
+
+    def __init_subclass__(cls):
+        for need, names in _OF_TYPE.items():
+            for name in names if need not in cls.fits else ():
+                if name not in cls.also:
+                    setattr(cls, name, cls._refuse(name))
+
+    @classmethod
+    def _refuse(cls, name: str):
+        def refuse(self, *args, **named):
+            raise ExprTypeError(f"{name} isn't for {self}, a {cls.__name__}")
+
+        return refuse
+
+
+class NumExpr(_Typed):
+    fits = ("number",)
+
+
+class StrExpr(_Typed):
+    fits = ("text",)
+
+
+class BoolExpr(_Typed):
+    also = ("sum",)
+
+
+class TemporalExpr(_Typed):
+    fits = ("time",)
+
+
+_KIND_OF = {"Int64": NumExpr, "Float64": NumExpr, "Str": StrExpr, "Bool": BoolExpr, "Date": TemporalExpr, "Datetime": TemporalExpr}
+
+
+def typed_column(name: str, kind: D.DType) -> Expr:
+    """A column of that type; of the null type, to which everything fits, a plain one."""
+    found = _KIND_OF.get(kind.name)
+    return found(name) if found else column(name)
+
+
 class _Columns:
     """col.x and col["x"]; names that begin with an underscore need brackets."""
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import html
 import random
 import warnings
-from functools import partial
+from functools import partial, wraps
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -42,9 +42,10 @@ class _Names:
         return self[name]
 
     def __getitem__(self, name: str) -> Expr:
-        from ..functions.expr import column
+        from ..functions.expr import typed_column
 
-        return column(plain_name(name, self._frame.schema))
+        name = plain_name(name, self._frame.schema)
+        return typed_column(name, self._frame.schema[name])
 
     def __dir__(self):
         return list(self._frame.schema)
@@ -59,6 +60,33 @@ class Frame:
             schema = {f.name: D.of_spark(f.dataType, f.name) for f in df.schema.fields}
         self._df, self._schema, self._order, self._groups, self._attached, self._shows = df, schema, order, groups, attached, shows
 
+    # the objects in memory that read() takes, by name
+    @classmethod
+    def from_dict(cls, data: dict) -> Frame:
+        return cls._from(data)
+
+    @classmethod
+    def from_pandas(cls, data) -> Frame:
+        return cls._from(data)
+
+    @classmethod
+    def from_arrow(cls, data) -> Frame:
+        return cls._from(data)
+
+    @classmethod
+    def from_polars(cls, data) -> Frame:
+        return cls._from(data.collect() if hasattr(data, "collect") and not hasattr(data, "to_arrow") else data)
+
+    @classmethod
+    def from_duckdb(cls, connection, table: str | None = None) -> Frame:
+        return cls._from(connection, table)
+
+    @staticmethod
+    def _from(data, table: str | None = None) -> Frame:
+        from ..sources.io import read
+
+        return read(data, table)
+
     # what a frame knows without running anything
     @property
     def schema(self) -> dict[str, D.DType]:
@@ -253,7 +281,13 @@ class Frame:
         names = [plain_name(r, self._schema) for r in refs] if refs else list(self._schema)
         names = list(dict.fromkeys([*self._groups, *names]))
         schema = {k: self._schema[k] for k in names}
-        return self._new(self._df.select(*map(name_of, names)).distinct(), schema, order=())
+        frame = self._with_rid()
+        place = frame._ordinal()
+        if place is None:
+            frame, place = frame._placed(), F.col(POS)
+        # each row's first place orders the result; where the order isn't asked for Spark drops it
+        first = HIDDEN + "o0"
+        return frame._new(frame._df.groupBy(*map(name_of, names)).agg(F.min(place).alias(first)), schema, order=((first, False),))
 
     @staticmethod
     def _whole(k) -> int:
@@ -346,8 +380,16 @@ class Frame:
             c, t = e.build(ctx)
             schema[name] = t
             columns.append((c.cast(t.spark) if t != D.Null else c).alias(name))
-        if self._groups:
-            keys = [name_of(g) for g in self._groups]
+        keys = [name_of(g) for g in self._groups]
+        # exact medians hold a group's values: beside a distinct count they would do so for each value of that
+        apart = [c for c, e in zip(columns, made.values(), strict=True) if e._kind == "agg" and e._name == "n_unique"]
+        if keys and apart and any(e.uses("median") for e in made.values()):
+            rest = [c for c, e in zip(columns, made.values(), strict=True) if not (e._kind == "agg" and e._name == "n_unique")]
+            there = {g: f"{HIDDEN}g{i}" for i, g in enumerate(self._groups)}
+            other = frame._df.groupBy(*[name_of(g).alias(h) for g, h in there.items()]).agg(*apart)
+            df = frame._df.groupBy(*keys).agg(*rest).join(other, [name_of(g).eqNullSafe(F.col(h)) for g, h in there.items()])
+            df = df.select(*map(name_of, schema))
+        elif keys:
             df = frame._df.groupBy(*keys).agg(*columns) if columns else frame._df.select(*keys).distinct()
         else:
             df = frame._df.agg(*columns)
@@ -441,20 +483,25 @@ class Frame:
 
     def pivot_wider(self, names_from, values_from, most: int = 10_000) -> Frame:
         """Runs at once to learn the new columns' names, in the order in which they first appear."""
+        from ..sources.io import checkpointed
+
         key, value = plain_name(names_from, self._schema), plain_name(values_from, self._schema)
         ids = [k for k in self._schema if k not in (key, value)]
         frame = self._with_rid()
         if self._order:
             frame = frame._placed()
         spread = frame._df.select(*map(name_of, ids), name_of(key).cast("string").alias(HIDDEN + "k"), name_of(value).alias(HIDDEN + "v"), RID)
-        names = spread.groupBy(HIDDEN + "k").agg(F.min(RID).alias("at")).orderBy("at").limit(most + 1).collect()
+        # one pass over the rows gives the first value of each cell; the names and the result come from that
+        cells = spread.groupBy(*map(name_of, ids), HIDDEN + "k").agg(F.min_by(HIDDEN + "v", RID).alias(HIDDEN + "v"), F.min(RID).alias(RID), F.count(F.lit(1)).alias(HIDDEN + "n"))
+        cells = checkpointed(cells)
+        names = cells.groupBy(HIDDEN + "k").agg(F.min(RID).alias("at"), F.max(HIDDEN + "n").alias("n")).orderBy("at").limit(most + 1).collect()
         if len(names) > most:
             raise ExprTypeError(f"pivot_wider would make over {most} columns")
-        names = [r[0] for r in names]
-        if spread.groupBy(*map(name_of, ids), HIDDEN + "k").count().where("count > 1").limit(1).count():
+        if any(r["n"] > 1 for r in names):
             warnings.warn("pivot_wider: some cells have several values; the first of each is kept", stacklevel=2)
-        cells = [F.min_by(HIDDEN + "v", F.when(F.col(HIDDEN + "k").eqNullSafe(F.lit(k)), F.col(RID))).alias("null" if k is None else k) for k in names]
-        df = spread.groupBy(*map(name_of, ids)).agg(*cells) if ids else spread.agg(*cells)
+        names = [r[0] for r in names]
+        made = [F.first(F.when(F.col(HIDDEN + "k").eqNullSafe(F.lit(k)), F.col(HIDDEN + "v")), ignorenulls=True).alias("null" if k is None else k) for k in names]
+        df = cells.groupBy(*map(name_of, ids)).agg(*made) if ids else cells.agg(*made)
         schema = {k: self._schema[k] for k in ids}
         for k in names:
             k = "null" if k is None else k
@@ -505,8 +552,15 @@ class Frame:
             df = df.orderBy(*self._order_by())
         return df.select(*[name_of(k) for k in self._schema])
 
-    def collect(self):
-        """The rows as an Arrow table."""
+    @property
+    def plan(self) -> str:
+        """The logical plan that the verbs so far have made, as text."""
+        return self._df._jdf.queryExecution().logical().toString()
+
+    def collect(self, engine: str | None = None):
+        """The rows as an Arrow table. Spark runs all frames: `engine` may name it, and no other."""
+        if engine not in (None, "spark"):
+            raise BackendError(f"frames run on Spark; there is no engine {engine!r}")
         return self.to_spark().toArrow()
 
     def to_pandas(self):
@@ -561,29 +615,34 @@ class Frame:
             df.write.mode("overwrite").saveAsTable(name)
         return Frame(df.sparkSession.table(name))
 
-    def to_view(self, name: str) -> Frame:
+    def to_view(self, name: str, temporary: bool = True) -> Frame:
+        """A view by that name: of this session, or of all sessions of the application (global_temp), as Spark keeps no plans in its catalog."""
         df = self.to_spark()
-        df.createOrReplaceTempView(name)
-        return Frame(df.sparkSession.table(name))
+        if temporary:
+            df.createOrReplaceTempView(name)
+            return Frame(df.sparkSession.table(name))
+        df.createOrReplaceGlobalTempView(name)
+        return Frame(df.sparkSession.table(f"global_temp.{name}"))
 
-    def write(self, path: str, table: str | None = None) -> None:
+    def write(self, path: str, table: str | None = None, single: bool = False) -> None:
+        """A folder of files written in parallel, or one file, by one task, if `single`."""
         from ..sources.io import write
 
-        write(self, path, table)
+        write(self, path, table, single)
 
-    def _write_as(self, suffix: str, path: str, table: str | None = None) -> None:
-        from ..sources.io import WRITERS
+    def _write_as(self, suffix: str, path: str, table: str | None = None, single: bool = False) -> None:
+        from ..sources.io import write
 
-        WRITERS[suffix](self, path, table)
+        write(self, path, table, single, suffix)
 
-    def write_parquet(self, path: str) -> None:
-        self._write_as(".parquet", path)
+    def write_parquet(self, path: str, single: bool = False) -> None:
+        self._write_as(".parquet", path, single=single)
 
-    def write_csv(self, path: str) -> None:
-        self._write_as(".csv", path)
+    def write_csv(self, path: str, single: bool = False) -> None:
+        self._write_as(".csv", path, single=single)
 
-    def write_ipc(self, path: str) -> None:
-        self._write_as(".arrow", path)
+    def write_ipc(self, path: str, single: bool = False) -> None:
+        self._write_as(".arrow", path, single=single)
 
     def write_duckdb(self, path: str, table: str) -> None:
         self._write_as(".duckdb", path, table)
@@ -633,5 +692,28 @@ class Frame:
         return f"<pre>{html.escape(head)}</pre>" + ("" if rows is None else rows.to_html(index=False)) + ("<p>...</p>" if more else "")
 
 
+_VERBS = """
+filter mutate select rename relocate arrange distinct slice_head slice_tail slice_sample slice_min slice_max group_by summarize summarise
+count inner_join left_join right_join full_join semi_join anti_join pivot_longer pivot_wider separate unite pull
+""".split()
+
+
+def _short(verb):
+    """The verb, whose errors about a call point at the call alone: one frame of the library instead of the way to the check."""
+
+    @wraps(verb)
+    def call(*args, **named):
+        try:
+            return verb(*args, **named)
+        except (ColumnNotFoundError, DuplicateColumnError, ExprTypeError, GroupError, BackendError) as error:
+            raise error.with_traceback(None) from None
+
+    return call
+
+
+for _name in _VERBS:
+    setattr(Frame, _name, _short(getattr(Frame, _name)))
+
+
 class GroupedFrame(Frame):
     """A frame with group keys, which summarize, windows and slices follow until ungroup()."""

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import (
-    Float64, Frame, Str, across, case_when, coalesce, col, contains, cum_max, cum_min, cum_sum, dense_rank, desc,
-    if_else, lag, lead, min_rank, n, percent_rank, replace_na, row_number, starts_with, where,
+    Float64, Frame, Str, across, case_when, coalesce, col, contains, cum_max, cum_min, cum_sum, dense_rank, desc, ends_with, everything,
+    if_else, is_numeric, lag, lead, matches, min_rank, n, percent_rank, read, replace_na, row_number, starts_with, where,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -16,10 +16,10 @@ SQL: dict[str, str] = {}
 
 
 def query(sql: str):
-    """Register a function of t, which gives a table as a frame, with its SQL."""
+    """Register a function of t, which gives a table as a frame, with its SQL. Sets of rows are compared, so none is sorted for display."""
 
     def put(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: Frame(spark.read.parquet(f"{sf_dir}/{name}.parquet"))).to_spark()
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: Frame(spark.read.parquet(f"{sf_dir}/{name}.parquet"))).to_spark(ordered=False)
         SQL[f.__name__] = sql
         return f
 
@@ -154,12 +154,13 @@ def join_inner_star(t):
     return o.inner_join(t("nation"), on="n_nationkey").group_by("n_name").summarize(n=n(), total=col.o_totalprice.sum().round(2))
 
 
-_S = "(SELECT s_suppkey AS k, s_acctbal AS v FROM supplier)"
-_C = "(SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey % 3 = 0)"
+# whole tables; with this factor keys of either side miss the other at every scale
+_S = "(SELECT s_suppkey * 17 AS k, s_acctbal AS v FROM supplier)"
+_C = "(SELECT c_custkey AS k, c_acctbal AS v FROM customer)"
 
 
 def _sides(t):
-    return t("supplier").rename(k="s_suppkey", v="s_acctbal").select("k", "v"), t("customer").rename(k="c_custkey", v="c_acctbal").filter(col.k % 3 == 0).select("k", "v")
+    return t("supplier").mutate(k=col.s_suppkey * 17).rename(v="s_acctbal").select("k", "v"), t("customer").rename(k="c_custkey", v="c_acctbal").select("k", "v")
 
 
 for _how, _sql in (("left", "l.k"), ("right", "r.k"), ("full", "coalesce(l.k, r.k)")):
@@ -269,3 +270,82 @@ def cast_is_na(t):
 @query("SELECT CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS s, NULL::DOUBLE AS m FROM orders WHERE o_orderkey < 0")
 def summ_empty(t):
     return t("orders").filter(col.o_orderkey < 0).summarize(n=n(), s=col.o_custkey.sum(), m=col.o_totalprice.mean())
+
+
+# missing values: every fifth value of a column is made null
+_BLANK = "(SELECT *, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE p_retailprice END AS x FROM part)"
+
+
+def _blank(t):
+    return t("part").mutate(x=if_else(col.p_partkey % 5 == 0, None, col.p_retailprice))
+
+
+@query(f"""SELECT CAST(p_size AS BIGINT) AS p_size, CASE WHEN count(x) = count(*) THEN round(avg(x), 6) END AS m, CASE WHEN count(x) = count(*) THEN round(sum(x), 4) END AS s,
+           round(avg(x), 6) AS mr, count(DISTINCT x) + max(CASE WHEN x IS NULL THEN 1 ELSE 0 END) AS u FROM {_BLANK} GROUP BY 1""")
+def summ_nulls(t):
+    g = _blank(t).group_by("p_size")
+    return g.summarize(m=col.x.mean(na_rm=False).round(6), s=col.x.sum(na_rm=False).round(4), mr=col.x.mean().round(6), u=col.x.n_unique())
+
+
+@query(f"""SELECT p_partkey, CASE WHEN x IS NOT NULL THEN rank() OVER w END AS r, CASE WHEN x IS NOT NULL THEN dense_rank() OVER w END AS d,
+           CASE WHEN x IS NOT NULL THEN round((rank() OVER w - 1) / (count(x) OVER (PARTITION BY p_brand) - 1), 9) END AS p
+           FROM {_BLANK} WINDOW w AS (PARTITION BY p_brand ORDER BY x NULLS LAST)""")
+def windows_ranks_nulls(t):
+    g = _blank(t).group_by("p_brand")
+    return g.mutate(r=min_rank(col.x), d=dense_rank(col.x), p=percent_rank(col.x).round(9)).ungroup().select("p_partkey", "r", "d", "p")
+
+
+@query(f"""SELECT p_partkey, CASE WHEN x IS NOT NULL THEN round(sum(x) OVER w, 4) END AS s, CASE WHEN x IS NOT NULL THEN min(x) OVER w END AS lo, CASE WHEN x IS NOT NULL THEN max(x) OVER w END AS hi,
+           lag(x) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS a
+           FROM {_BLANK} WINDOW w AS (PARTITION BY p_brand ORDER BY p_partkey ROWS UNBOUNDED PRECEDING)""")
+def windows_ordered_nulls(t):
+    g = _blank(t).arrange("p_partkey").group_by("p_brand")
+    return g.mutate(s=cum_sum(col.x).round(4), lo=cum_min(col.x), hi=cum_max(col.x), a=lag(col.x)).ungroup().select("p_partkey", "s", "lo", "hi", "a")
+
+
+@query(f"SELECT p_partkey, x FROM {_BLANK} ORDER BY x DESC NULLS LAST, p_partkey LIMIT 50")
+def arrange_nulls_last(t):
+    return _blank(t).arrange(desc(col.x), "p_partkey").select("p_partkey", "x").slice_head(50)
+
+
+@query("SELECT s_suppkey, true AS nan, false AS num, round(exp(s_nationkey / 10.0), 6) AS e FROM supplier")
+def mutate_nan_exp(t):
+    zero = col.s_suppkey - col.s_suppkey
+    return t("supplier").mutate(nan=(zero / zero).is_na(), num=(zero + 1).is_na(), e=(col.s_nationkey / 10).exp().round(6)).select("s_suppkey", "nan", "num", "e")
+
+
+@query("SELECT c_custkey, c_nationkey, c_name FROM (SELECT c_custkey, CAST(c_nationkey AS BIGINT) AS c_nationkey, c_name FROM customer)")
+def select_patterns(t):
+    return t("customer").select(ends_with("key"), matches("^c_na[a-m]e$"), -contains("seg"))
+
+
+@query("SELECT s_acctbal, s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey FROM supplier")
+def select_everything(t):
+    return t("supplier").relocate("s_acctbal", before="s_suppkey").relocate("s_nationkey", after="s_name").select(everything())
+
+
+@query("SELECT c_mktsegment, n_name, count(*) AS n, round(max(c_acctbal), 2) AS top FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL")
+def join_grouped(t):
+    c = t("customer").rename(n_nationkey="c_nationkey").group_by("c_mktsegment").inner_join(t("nation"), on="n_nationkey")
+    return c.group_by("n_name").summarize(n=n(), top=col.c_acctbal.max().round(2))
+
+
+@query("SELECT min(p_size) AS p_size_min, min(p_retailprice) AS p_retailprice_min, min(p_partkey) AS p_partkey_min FROM (SELECT p_partkey, CAST(p_size AS BIGINT) AS p_size, p_retailprice FROM part)")
+def across_numbers(t):
+    return t("part").summarize(across(where(is_numeric), ["min"]))
+
+
+def _read_back(suffix: str):
+    def run(t):
+        from ..sources.io import scratch
+
+        path = scratch(suffix)
+        t("nation").select("n_nationkey", "n_name").write(path)
+        return read(path).select("n_nationkey", "n_name")
+
+    run.__name__ = f"read_{suffix}"
+    return query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name FROM nation")(run)
+
+
+for _suffix in ("csv", "tsv", "jsonl", "json", "parquet", "arrow"):
+    _read_back(_suffix)
