@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, by_position, from_texts, materialise, need
+from .common import by_position, from_texts, materialise, need
 
 HALVES, STARS = 10, 2
 #: Rows of small columns up to which they are broadcast to the scan for the texts (some 100 bytes each in the JVM).
@@ -52,14 +52,13 @@ class Shingler:
 
     def __init__(self, words: int):
         self.words = words
-        self.hash = Memo(xxhash.xxh64_intdigest).__getitem__
 
     def __call__(self, text: str | None) -> np.ndarray:
         # bytes.lower() and split() treat A-Z and the six ASCII separators only
         found = text.encode().lower().split() if text else []
         if not found:
             return np.empty(0, U)
-        h = np.fromiter(map(self.hash, found), U, len(found))
+        h = np.fromiter(map(xxhash.xxh64_intdigest, found), U, len(found))
         size = min(self.words, len(h))
         out = np.full(len(h) - size + 1, U(size))
         for k in range(size):
