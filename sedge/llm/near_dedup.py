@@ -161,6 +161,11 @@ def connected(links: DataFrame) -> DataFrame:
             return labels
 
 
+def few(table: DataFrame) -> DataFrame:
+    """The table, to be broadcast if it has at most NAMES rows."""
+    return F.broadcast(table) if table.count() <= NAMES else table
+
+
 def _similar_sizes(x: Column, y: Column, percent: int) -> Column:
     return F.least(x, y) * 100 >= F.greatest(x, y) * percent
 
@@ -189,10 +194,7 @@ class _Groups:
 
     def _full_sets(self) -> DataFrame:
         names = self.buckets.select("node").distinct().join(self.classes, "node").select("node", "c1", "c2", F.col("doc_id"))
-        names = materialise(names)
-        if names.count() <= NAMES:
-            names = F.broadcast(names)
-        texts = self.docs.join(names, "doc_id").select("node", "c1", "c2", "text")
+        texts = self.docs.join(few(materialise(names)), "doc_id").select("node", "c1", "c2", "text")
         once = texts.withColumn("which", F.xxhash64("text")).dropDuplicates(["node", "which"])
         return once.select("node", "c1", "c2", "text").mapInPandas(_sets(self.words), "node long, shingles binary")
 
@@ -260,28 +262,26 @@ class _Groups:
         bin_ = F.floor(F.log(F.col("n_shingles").cast("double")) / math.log(100 / self.percent)).cast("int")
         rows = materialise(rows.select(F.col("lead_component").alias("group"), bin_.alias("bin"), "node", "component", (F.col("component") != F.col("lead_component")).alias("outside")).distinct())
 
-        sizes = self.classes.select("node", "n_shingles")
-        rows = rows.join(sizes, "node")
-
-        def blocks(part: DataFrame, name: str) -> DataFrame:
-            """Blocks of sets, numbered within group and bin, and how many there are."""
-            most = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("n_shingles") * 8 / BLOCK_BYTES))
-            part = part.join(part.groupBy("group", "bin").agg(most.alias("slots")), ["group", "bin"]).withColumn("slot", F.pmod(F.xxhash64("node"), F.col("slots")))
-            return part.join(self.sets, "node").groupBy("group", "bin", "slot", "slots").agg(F.collect_list(F.struct("node", "component", "shingles")).alias(name))
-
-        # the pairs of blocks of one group and bin are dealt to a grid of cells, each with GRID * GRID pairs at most
-        x = blocks(rows.where("outside"), "xs").withColumn("bin", F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)))
-        y = blocks(rows.drop("outside"), "ys").select("group", "bin", F.col("slot").alias("y_slot"), F.col("slots").alias("y_slots"), "ys")
-        tall = self._cells(x.select("group", "bin", "slots").distinct().groupBy("group", "bin").agg(F.max("slots").alias("slots")), "slots", "rows")
-        wide = self._cells(y.select("group", "bin", "y_slots").distinct(), "y_slots", "cols")
-        x = x.join(wide, ["group", "bin"]).join(tall, ["group", "bin"]).withColumn("row", F.pmod(F.xxhash64("slot", "slots"), F.col("rows"))).withColumn("col", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cols") - 1)))
-        y = y.join(wide, ["group", "bin"]).join(tall, ["group", "bin"]).withColumn("col", F.pmod(F.xxhash64("y_slot", "y_slots"), F.col("cols"))).withColumn("row", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1)))
-        pairs = x.select("group", "bin", "row", "col", "xs").join(y.select("group", "bin", "row", "col", "ys"), ["group", "bin", "row", "col"]).select("xs", "ys")
-        return pairs.mapInPandas(_block_links(self.percent), TESTED).distinct()
-
-    @staticmethod
-    def _cells(groups: DataFrame, slots: str, name: str) -> DataFrame:
-        return groups.select("group", "bin", F.ceil(F.col(slots) / GRID).alias(name))
+        rows = rows.join(self.classes.select("node", "n_shingles"), "node")
+        in_blocks = lambda some: F.greatest(F.ceil(F.count(F.when(some, 1)) / BLOCK), F.ceil(F.coalesce(F.sum(F.when(some, F.col("n_shingles"))), F.lit(0)) * 8 / BLOCK_BYTES))
+        sizes = materialise(rows.groupBy("group", "bin").agg(in_blocks(F.col("outside")).alias("xs"), in_blocks(F.lit(True)).alias("ys")))
+        near = F.explode(F.array(F.col("bin") - 1, F.col("bin"), F.col("bin") + 1)).alias("bin")
+        # the pairs of blocks of one group and bin are dealt to a grid of cells, each with about GRID * GRID pairs
+        tall = sizes.where("xs > 0").select("group", near, "xs").groupBy("group", "bin").agg(F.ceil(F.max("xs") / GRID).alias("rows"))
+        cells = materialise(sizes.join(tall, ["group", "bin"]).select("group", "bin", "rows", F.ceil(F.col("ys") / GRID).alias("cols")))
+        # both have a row for each group and bin; where these are many, no group holds a large share of the rows
+        sizes, cells = few(sizes), few(cells)
+
+        def blocks(part: DataFrame, slots: str, name: str) -> DataFrame:
+            part = part.join(sizes, ["group", "bin"]).withColumn("slot", F.pmod(F.xxhash64("node"), F.col(slots)))
+            return part.join(self.sets, "node").groupBy("group", "bin", "slot").agg(F.collect_list(F.struct("node", "component", "shingles")).alias(name))
+
+        each = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+        x = blocks(rows.where("outside"), "xs", "x").select("group", near, "slot", F.col("x").alias("xs")).join(cells, ["group", "bin"])
+        x = x.select("group", "bin", F.pmod(F.xxhash64("slot"), F.col("rows")).alias("row"), each("cols").alias("col"), "xs")
+        y = blocks(rows.drop("outside"), "ys", "y").select("group", "bin", "slot", F.col("y").alias("ys")).join(cells, ["group", "bin"])
+        y = y.select("group", "bin", each("rows").alias("row"), F.pmod(F.xxhash64("slot"), F.col("cols")).alias("col"), "ys")
+        return x.join(y, ["group", "bin", "row", "col"]).select("xs", "ys").mapInPandas(_block_links(self.percent), TESTED).distinct()
 
     def confirm(self, pairs: DataFrame, more: DataFrame | None = None) -> None:
         """Test the candidates that are new on their full sets; join the components of those that link, and of more links."""
@@ -370,12 +370,11 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     id_, text = f"c{docs.columns.index('doc_id')}", f"c{docs.columns.index('text')}"
     verdict = _verdicts(docs, words, percent, HALVES).where("doc_id is not null").withColumn("stays", F.col("doc_id") == F.coalesce("least", "doc_id"))
     ids = materialise(verdict.groupBy("doc_id").agg(F.max("stays").alias("stays"), F.count("*").alias("repeats")).where("stays"))
-    some = lambda keep: F.broadcast(keep) if keep.count() <= NAMES else keep
     single, several = ids.where("repeats = 1").select("doc_id"), ids.where("repeats > 1").select("doc_id")
-    out = plain.join(some(single.withColumnRenamed("doc_id", "kept_id")), F.col(id_) == F.col("kept_id"), "left_semi").unionByName(plain.where(F.col(id_).isNull()))
+    out = plain.join(few(single.withColumnRenamed("doc_id", "kept_id")), F.col(id_) == F.col("kept_id"), "left_semi").unionByName(plain.where(F.col(id_).isNull()))
     if several.limit(1).count():
         # of ids with several rows each text has its own verdict
-        rows = plain.join(some(several.withColumnRenamed("doc_id", "kept_id")), F.col(id_) == F.col("kept_id"), "left_semi")
+        rows = plain.join(few(several.withColumnRenamed("doc_id", "kept_id")), F.col(id_) == F.col("kept_id"), "left_semi")
         rows = from_texts(rows, _class_of(words), "c1_ long, c2_ long", column=text, keep=True)
         stays = verdict.where("stays").join(several, "doc_id", "left_semi").select(F.col("doc_id").alias("kept_id"), F.col("c1").alias("x"), F.col("c2").alias("y"), "grp").distinct()
         same = (F.col(id_) == F.col("kept_id")) & F.col("c1_").eqNullSafe(F.col("x")) & F.col("c2_").eqNullSafe(F.col("y"))
