@@ -483,17 +483,14 @@ class Frame:
 
     def pivot_wider(self, names_from, values_from, most: int = 10_000) -> Frame:
         """Runs at once to learn the new columns' names, in the order in which they first appear."""
-        from ..sources.io import checkpointed
-
         key, value = plain_name(names_from, self._schema), plain_name(values_from, self._schema)
         ids = [k for k in self._schema if k not in (key, value)]
         frame = self._with_rid()
         if self._order:
             frame = frame._placed()
         spread = frame._df.select(*map(name_of, ids), name_of(key).cast("string").alias(HIDDEN + "k"), name_of(value).alias(HIDDEN + "v"), RID)
-        # one pass over the rows gives the first value of each cell; the names and the result come from that
+        # the first value of each cell; a pass without the values gives the names, and the result's own pass the rest
         cells = spread.groupBy(*map(name_of, ids), HIDDEN + "k").agg(F.min_by(HIDDEN + "v", RID).alias(HIDDEN + "v"), F.min(RID).alias(RID), F.count(F.lit(1)).alias(HIDDEN + "n"))
-        cells = checkpointed(cells)
         names = cells.groupBy(HIDDEN + "k").agg(F.min(RID).alias("at"), F.max(HIDDEN + "n").alias("n")).orderBy("at").limit(most + 1).collect()
         if len(names) > most:
             raise ExprTypeError(f"pivot_wider would make over {most} columns")
