@@ -27,7 +27,8 @@ class Context:
     ordinal: Column | None = None  # in summaries: the place of a row in the current order
     scalars: list[Column] = field(default_factory=list)  # aggregates of each row's group, or of all rows, joined to the rows
     inside: str = ""  # "agg" or "window" while an argument is built
-    steps: list[Callable] = field(default_factory=list)  # windows by blocks, each a column made by joins
+    steps: list[tuple] = field(default_factory=list)  # windows by blocks: level, and what makes the column of a name
+    level: int = 0  # of a window: over that of all windows in its arguments
     blocks: bool = True  # whether windows go by blocks and aggregates are joined: over whole frames, and where a group may be too large for one task
 
     def within(self, what: str) -> Context:
@@ -272,7 +273,7 @@ class TemporalExpr(_Typed):
 _KIND_OF = {"Int64": NumExpr, "Float64": NumExpr, "Str": StrExpr, "Bool": BoolExpr, "Date": TemporalExpr, "Datetime": TemporalExpr}
 
 
-def typed_column(name: str, kind: D.DType) -> Expr:
+def typed_col(name: str, kind: D.DType) -> Expr:
     """A column of that type; of the null type, to which everything fits, a plain one."""
     found = _KIND_OF.get(kind.name)
     return found(name) if found else column(name)
@@ -419,12 +420,26 @@ def _scalar(ctx: Context, made: Column) -> Column:
 
 
 def _step(ctx: Context, make, *args) -> Column:
-    """The column that make(df, its name, the group keys, *args) adds to the frame."""
+    """The column that make(name, *args) describes, or that make(df, name, group keys, *args) adds to the frame."""
     name = f"__sedge_w{len(ctx.steps)}"
-    ctx.steps.append(lambda df: make(df, name, ctx.groups, *args))
+    made = make(name, *args) if make in (places.Shift, places.Total) else lambda df: make(df, name, ctx.groups, *args)
+    ctx.steps.append((ctx.level, made))
     return F.col(name)
 
 
+def apply_steps(df, steps: list[tuple], keys):
+    """df with the columns of the steps: level by level, the shifts and totals of one together."""
+    for level in sorted({at for at, _ in steps}):
+        now = [made for at, made in steps if at == level]
+        together = [made for made in now if isinstance(made, (places.Shift, places.Total))]
+        if together:
+            df = places.windowed(df, keys, together)
+        for made in now:
+            if made not in together:
+                df = made(df)
+    return df
+
+
 def _placed(ctx: Context, made: Column) -> Column:
     return made if ctx.mode == "summary" else _scalar(ctx, made)
 
@@ -440,8 +455,9 @@ def _window(name: str, e: Expr | None, make, ordered: bool = True) -> Expr:
             raise ExprTypeError(f"an aggregate can't hold {name}; put it in a mutate before")
         if ctx.mode == "summary":
             raise ExprTypeError(f"summarize needs aggregates, and {name} gives a value for each row; put it in a mutate before")
+        first = len(ctx.steps)
         c, t = e.build(ctx.within("window")) if e is not None else (None, None)
-        return make(ctx, c, t)
+        return make(replace(ctx, level=1 + max([at for at, _ in ctx.steps[first:]], default=-1)), c, t)
 
     return Expr(build, f"{name}({'' if e is None else e})", () if e is None else (e,), "window", name)
 
@@ -450,10 +466,12 @@ def _shift(name: str, function, e, k: int, default) -> Expr:
     e, default = wrap(e), wrap(default)
 
     def make(ctx, c, t):
+        first = len(ctx.steps)
         d, dt = default.build(ctx)
         out = D.unify(t, dt, name)
         if ctx.blocks:
-            return _step(ctx, places.shifted, _to(c, out), k if name == "lag" else -k, None if dt == D.Null else _to(d, out)), out
+            ctx = replace(ctx, level=1 + max([ctx.level - 1, *[at for at, _ in ctx.steps[first:]]]))
+            return _step(ctx, places.Shift, _to(c, out), k if name == "lag" else -k, None if dt == D.Null else _to(d, out)), out
         place = F.row_number().over(ctx.ordered)
         moved = function(_to(c, out), k).over(ctx.ordered)
         if dt == D.Null:
@@ -524,7 +542,7 @@ def _cumulative(name: str, function, e) -> Expr:
         x = c.cast(kind.spark) if kind != t else c
         if ctx.blocks:
             join = {"cum_sum": operator.add, "cum_min": F.least, "cum_max": F.greatest}[name]
-            return _step(ctx, places.running, x, function, join), kind
+            return _step(ctx, places.Total, x, function, join), kind
         frame = ctx.ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return F.when(c.isNotNull(), function(x).over(frame)), kind
 

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from .. import dtypes as D
 from ..dtypes import name_of
 from ..errors import BackendError, ColumnNotFoundError, DuplicateColumnError, ExprTypeError, GroupError
-from ..functions.expr import Context, Expr, desc, n, rank_key, wrap
+from ..functions.expr import Context, Expr, apply_steps, desc, n, rank_key, wrap
 from ..options import options
 from .places import HIDDEN, POS, RID, beside, place
 from .select import Across, plain_name, resolve
@@ -42,10 +42,10 @@ class _Names:
         return self[name]
 
     def __getitem__(self, name: str) -> Expr:
-        from ..functions.expr import typed_column
+        from ..functions.expr import typed_col
 
         name = plain_name(name, self._frame.schema)
-        return typed_column(name, self._frame.schema[name])
+        return typed_col(name, self._frame.schema[name])
 
     def __dir__(self):
         return list(self._frame.schema)
@@ -185,8 +185,7 @@ class Frame:
         if ctx.scalars:
             made = [c.alias(f"{HIDDEN}s{i}") for i, c in enumerate(ctx.scalars)]
             frame = frame._new(beside(frame._df, self._groups, made))
-        for step in ctx.steps:
-            frame = frame._new(step(frame._df))
+        frame = frame._new(apply_steps(frame._df, ctx.steps, self._groups))
         return frame, out
 
     def _public(self, df: DataFrame, schema: dict) -> DataFrame:

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import operator
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -65,24 +66,76 @@ def place(df: DataFrame, order: list[Column], keys: Sequence[str] = ()) -> DataF
     return df.withColumn(POS, F.col(offset) + index(row) + 1).drop(offset, "block", *there.values())
 
 
-def running(df: DataFrame, name: str, keys: Sequence[str], x: Column, total: Callable[[Column], Column], join: Callable[[Column, Column], Column]) -> DataFrame:
-    """A column of the running total of x up to each row: that of its block joined to that of the group's blocks before."""
-    df = df.withColumn(name, x)
-    blocks = df.groupBy(GROUP, BLOCK).agg(total(F.col(name)).alias("whole"))
-    before = total(F.col("whole")).over(Window.partitionBy(GROUP).orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1))
-    carry = name + "_carry"
-    df = df.join(_bounded(blocks.select(GROUP, BLOCK, before.alias(carry)), keys), [GROUP, BLOCK])
-    own = total(F.col(name)).over(Window.partitionBy(GROUP, BLOCK).orderBy(POS).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return df.withColumn(name, F.when(F.col(name).isNotNull(), F.when(F.col(carry).isNull(), own).otherwise(join(own, F.col(carry))))).drop(carry)
+@dataclass(eq=False)
+class Shift:
+    """A column of x, k rows before each row of its group (after it, if k is negative), or the default where there is none."""
 
+    name: str
+    x: Column
+    k: int
+    default: Column | None
 
-def shifted(df: DataFrame, name: str, keys: Sequence[str], x: Column, k: int, default: Column | None) -> DataFrame:
-    """A column of x, k rows before each row of its group (after it, if k is negative), or the default where there is none: a join by position."""
-    df = df.withColumn(name, x)
-    there = name + "_there"
-    other = df.select(GROUP, (F.col(POS) + k).alias(POS), F.col(name).alias(name + "_x"), F.lit(True).alias(there))
-    moved = F.col(name + "_x") if default is None else F.when(F.col(there), F.col(name + "_x")).otherwise(default)
-    return df.join(other, [GROUP, POS], "left").withColumn(name, moved).drop(name + "_x", there)
+
+@dataclass(eq=False)
+class Total:
+    """A column of the running total of x up to each row, null where x is: total within chunks, joined to that of the chunks before."""
+
+    name: str
+    x: Column
+    total: Callable[[Column], Column]
+    join: Callable[[Column, Column], Column]
+
+
+#: Rows of a group that one window takes; groups are cut into chunks of so many.
+CHUNK = 1 << 18
+AT, OWN = HIDDEN + "chunk", HIDDEN + "own"
+
+
+def windowed(df: DataFrame, keys: Sequence[str], steps: Sequence[Shift | Total]) -> DataFrame:
+    """The columns of all steps by one window over chunks of the groups.
+
+    A chunk holds copies of the rows around it, as many as the farthest shift reaches; what it needs of the chunks before
+    for totals is one row for each. Shifts beyond a chunk's size are joins by position.
+    """
+    for far in (s for s in steps if isinstance(s, Shift) and abs(s.k) > CHUNK):
+        df = _joined(df, far)
+    shifts = [s for s in steps if isinstance(s, Shift) and abs(s.k) <= CHUNK]
+    totals = [s for s in steps if isinstance(s, Total)]
+    if not shifts and not totals:
+        return df
+    df = df.withColumns({s.name: s.x for s in (*shifts, *totals)})
+    chunk, index = F.floor((F.col(POS) - 1) / CHUNK), (F.col(POS) - 1) % CHUNK
+    reach = max([abs(s.k) for s in shifts], default=0)
+    copies = [F.struct(chunk.alias(AT), F.lit(True).alias(OWN))]
+    if reach:
+        copies += [F.when(edge, F.struct((chunk + by).alias(AT), F.lit(False).alias(OWN))) for edge, by in (((index < reach) & (chunk > 0), -1), (index >= CHUNK - reach, 1))]
+    made = df.withColumn(AT, F.explode(F.array_compact(F.array(*copies)))).withColumns({OWN: F.col(AT + "." + OWN), AT: F.col(AT + "." + AT)})
+    w = Window.partitionBy(GROUP, AT).orderBy(POS)
+    out = {}
+    for s in shifts:
+        moved, there = (F.lag(c, s.k).over(w) if s.k >= 0 else F.lead(c, -s.k).over(w) for c in (F.col(s.name), F.lit(True)))
+        out[s.name] = moved if s.default is None else F.when(there, moved).otherwise(s.default)
+    if totals:
+        carry = lambda s: s.name + "_carry"
+        chunks = df.groupBy(GROUP, chunk.alias(AT)).agg(*[s.total(F.col(s.name)).alias(s.name) for s in totals])
+        before = Window.partitionBy(GROUP).orderBy(AT).rowsBetween(Window.unboundedPreceding, -1)
+        chunks = chunks.select(GROUP, AT, *[s.total(F.col(s.name)).over(before).alias(carry(s)) for s in totals])
+        made = made.join(_bounded(chunks, keys), [GROUP, AT], "left")
+        upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        for s in totals:
+            own = s.total(F.when(F.col(OWN), F.col(s.name))).over(upto)
+            out[s.name] = F.when(F.col(s.name).isNotNull(), F.when(F.col(carry(s)).isNull(), own).otherwise(s.join(own, F.col(carry(s)))))
+    # under names of their own first, as each is made of the columns before it
+    done = made.withColumns({name + "_w": c for name, c in out.items()}).where(F.col(OWN))
+    return done.select(*[F.col(c + "_w").alias(c) if c in out else F.col(f"`{c}`") for c in df.columns])
+
+
+def _joined(df: DataFrame, s: Shift) -> DataFrame:
+    there = s.name + "_there"
+    df = df.withColumn(s.name, s.x)
+    other = df.select(GROUP, (F.col(POS) + s.k).alias(POS), F.col(s.name).alias(s.name + "_x"), F.lit(True).alias(there))
+    moved = F.col(s.name + "_x") if s.default is None else F.when(F.col(there), F.col(s.name + "_x")).otherwise(s.default)
+    return df.join(other, [GROUP, POS], "left").withColumn(s.name, moved).drop(s.name + "_x", there)
 
 
 def counted(df: DataFrame, name: str, keys: Sequence[str], x: Column) -> DataFrame:
@@ -99,7 +152,7 @@ def ranked(df: DataFrame, name: str, keys: Sequence[str], x: Column, down: bool,
     if dense:
         values = values.withColumn(rank, F.col(POS))
     else:
-        values = running(values, HIDDEN + "upto", keys, F.col(HIDDEN + "k"), F.sum, operator.add)
+        values = windowed(values, keys, [Total(HIDDEN + "upto", F.col(HIDDEN + "k"), F.sum, operator.add)])
         values = values.withColumn(rank, F.col(HIDDEN + "upto") - F.col(HIDDEN + "k") + 1)
     values = values.select(value, rank, *there.values())
     return df.join(values, [F.col(name) == F.col(value), *_same(there)], "left").withColumn(name, F.col(rank)).drop(value, rank, *there.values())

@@ -9,7 +9,7 @@ import sys
 from pathlib import Path
 
 from . import dtypes as D
-from .functions.expr import typed_column
+from .functions.expr import typed_col
 from .sources.io import read
 
 
@@ -28,7 +28,7 @@ def module_of(paths: list[str]) -> str:
         title = "".join(p.capitalize() for p in stem.split("_"))
         body += ["", "", f"class {title}Columns:"]
         for column, kind in schema.items():
-            found = "Expr" if kind == D.Null else type(typed_column(column, kind)).__name__
+            found = "Expr" if kind == D.Null else type(typed_col(column, kind)).__name__
             used.add(found)
             body.append(f"    {_python_name(column)}: {found}" + ("" if _python_name(column) == column else f'  # c["{column}"]'))
         body += ["", "", f"class {title}Frame(Frame):", f"    c: {title}Columns"]

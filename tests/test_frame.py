@@ -246,7 +246,9 @@ def numbers(seed: int = 3, size: int = 500) -> pd.DataFrame:
     return pd.DataFrame({"i": rng.permutation(size), "x": x, "s": rng.choice(list("abc"), size)})
 
 
-def test_windows_of_ungrouped_frames(blocks):
+@pytest.mark.parametrize("chunk", [1 << 18, 7, 2])
+def test_windows_of_ungrouped_frames(blocks, monkeypatch, chunk):
+    monkeypatch.setattr("sedge.operators.places.CHUNK", chunk)
     data = numbers()
     f = read(pa.Table.from_pandas(data, preserve_index=False))
     made = f.arrange("i").mutate(
@@ -303,7 +305,9 @@ def test_no_task_sorts_or_holds_all_rows(blocks):
         assert "l_" not in step
 
 
-def test_large_groups_go_by_blocks_with_the_same_results(blocks, monkeypatch):
+@pytest.mark.parametrize("chunk", [1 << 18, 5])
+def test_large_groups_go_by_blocks_with_the_same_results(blocks, monkeypatch, chunk):
+    monkeypatch.setattr("sedge.operators.places.CHUNK", chunk)
     data = numbers()
     data["g"] = np.where(np.random.default_rng(5).random(500) < 0.6, None, data.s)  # more than half of all rows share the missing key
     f = read(pa.Table.from_pandas(data, preserve_index=False)).arrange("i").group_by("g", "s")
