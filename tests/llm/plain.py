@@ -35,7 +35,8 @@ def _fold(i):
 
 
 def _tokens(text):
-    return re.findall(r"[^\W_]+", (text or "").lower())
+    """Words, without those that repeat the one before."""
+    return [w for w, _ in itertools.groupby(re.findall(r"[^\W_]+", (text or "").lower()))]
 
 
 def _differences(docs, marks, ids, discount):
@@ -60,7 +61,7 @@ def _differences(docs, marks, ids, discount):
     return of
 
 
-def toxicity(docs, labels, discount=20.0, passage=4):
+def toxicity(docs, labels, discount=40.0, telling=4):
     """The score of each document (id to text); labels: pairs of id and class."""
     marks = {}
     for i, toxic in labels:
@@ -71,16 +72,15 @@ def toxicity(docs, labels, discount=20.0, passage=4):
     final = _differences(docs, marks, known, discount)
 
     def inputs(values):
-        size = min(passage, len(values))
-        best = max(sum(values[a : a + size]) / size for a in range(len(values) - size + 1)) if values else 0.0
-        return best, math.log(max(1, len(values)))
+        best = sum(max(0, v) for v in sorted(values)[-telling:]) / telling
+        return sum(values) / max(1, len(values)), best, math.log(max(1, len(values)))
 
     x = np.array([inputs(first(docs[i])) for i in known if _fold(i) == 3])
     y = np.array([marks[i] for i in known if _fold(i) == 3], float)
     mean, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
     scaled = lambda v: np.concatenate([[1.0], np.clip((np.array(v) - mean) / spread, -4, 4)])
-    rows, weights = np.array([scaled(v) for v in x]), np.zeros(3)
-    ridge = np.diag([1e-6, 1e-2, 1e-2])
+    rows, weights = np.array([scaled(v) for v in x]), np.zeros(4)
+    ridge = np.diag([1e-6, 1e-2, 1e-2, 1e-2])
     for _ in range(40):
         q = 1 / (1 + np.exp(-rows @ weights))
         weights = weights - np.linalg.inv(rows.T @ np.diag(q * (1 - q)) @ rows + ridge) @ (rows.T @ (q - y) + ridge @ weights)
