@@ -128,19 +128,22 @@ def sha256_hex(data: bytes) -> str:
 
 
 class Memo(dict):
-    """What make() gives for keys, kept for at most `most` keys of at most `longest` characters.
+    """What make() gives for keys, kept for keys of at most `longest` characters in two generations of at most `most` keys.
 
-    Both bounds together bound its bytes, whatever the texts; when it is full it starts again.
+    Both bounds together bound its bytes, whatever the texts. When the young generation is full the old one goes.
     """
 
     def __init__(self, make: Callable, most: int = 200_000, longest: int = 48):
         super().__init__()
-        self.make, self.most, self.longest = make, most, longest
+        self.make, self.most, self.longest, self.old = make, most, longest, {}
 
     def __missing__(self, key: str):
-        value = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= self.longest:
             if len(self) >= self.most:
+                self.old = dict(self)
                 self.clear()
             self[key] = value
         return value

@@ -49,7 +49,7 @@ class WordIds:
         # these two hold no reference to this object, so they go with it
         self.pieces = Memo(self._piece_ids(self.tokenizer.model))
         spelled = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.words = Memo(self._word_ids(self.tokenizer, self.pieces, {c: spelled.pre_tokenize_str(chr(c))[0][0] for c in range(128, 256)}))
+        self.words = Memo(self._word_ids(self.tokenizer, self.pieces, {c: spelled.pre_tokenize_str(chr(c))[0][0] for c in range(128, 256)}), 400_000)
 
     @staticmethod
     def _piece_ids(model):
@@ -59,10 +59,10 @@ class WordIds:
     def _word_ids(tokenizer, pieces: Memo, spelling: dict[int, str]):
         def ids(word: str) -> bytes:
             core = word.rstrip(PUNCTUATION)
-            if not core.isalpha() or max(core) > "\xff":
-                return array("I", tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
-            found = pieces[core.lower() if core.isascii() else core.lower().translate(spelling)]
-            return found + pieces[word[len(core) :]] if len(core) < len(word) else found
+            if core.isalpha() and (core.isascii() or max(core) <= "\xff"):
+                found = pieces[core.lower() if core.isascii() else core.lower().translate(spelling)]
+                return found + pieces[word[len(core) :]] if len(core) < len(word) else found
+            return array("I", tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
         return ids
 
