@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .. import (
-    Float64, Frame, Str, across, case_when, coalesce, col, contains, cum_max, cum_min, cum_sum, dense_rank, desc, ends_with, everything,
+    Float64, Str, across, case_when, coalesce, col, contains, cum_max, cum_min, cum_sum, dense_rank, desc, ends_with, everything,
     if_else, is_numeric, lag, lead, matches, min_rank, n, percent_rank, read, replace_na, row_number, starts_with, where,
 )
 
@@ -19,7 +19,7 @@ def query(sql: str):
     """Register a function of t, which gives a table as a frame, with its SQL. Sets of rows are compared, so none is sorted for display."""
 
     def put(f):
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: Frame(spark.read.parquet(f"{sf_dir}/{name}.parquet"))).to_spark(ordered=False)
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: read(f"{sf_dir}/{name}.parquet")).to_spark(ordered=False)
         SQL[f.__name__] = sql
         return f
 

@@ -361,3 +361,46 @@ def test_writers_by_name(people, tmp_path):
     people.write_duckdb(str(tmp_path / "d.duckdb"), "people")
     with pytest.warns(UserWarning):
         assert read(str(tmp_path / "d.duckdb"), "people").pull("height") == people.pull("height")
+
+
+def test_join_keys_are_checked_and_groups_stay(people):
+    other = read({"species": ["leafy", "needle"], "shade": [1, 2]})
+    with pytest.raises(ColumnNotFoundError):
+        people.inner_join(other, on="heigth")
+    with pytest.raises(ColumnNotFoundError):
+        people.inner_join(other, on="height")
+    with pytest.raises(ExprTypeError):
+        people.inner_join(read({"species": [1]}), on="species")
+    with pytest.raises(GroupError):
+        people.inner_join(other.group_by("shade"), on="species")
+    grouped = people.group_by("species").left_join(other, on="species")
+    assert grouped.groups == ("species",) and grouped.summarize(s=col.shade.sum()).pull("s") == [3, 2, 0, 0]
+
+
+def test_objects_of_other_libraries(spark):
+    """By what they offer: those libraries aren't here."""
+
+    class Polars:
+        def to_arrow(self):
+            return pa.table({"x": [1, 2]})
+
+    class Lazy:
+        def collect(self):
+            return Polars()
+
+    class Tensor:
+        def numpy(self):
+            return np.arange(6).reshape(3, 2)
+
+    class Split:
+        class data:
+            table = pa.table({"x": [7]})
+
+    assert read(Polars()).pull() == [1, 2] and sedge.Frame.from_polars(Lazy()).pull() == [1, 2]
+    assert read(Tensor()).collect().to_pydict() == {"column_0": [0, 2, 4], "column_1": [1, 3, 5]}
+    assert read(Split()).pull() == [7]
+
+
+def test_logs_at_and_below_zero(spark):
+    x = read({"x": [0.0, -1.0, 1.0]}).mutate(y=col.x.log()).pull("y")
+    assert x[0] == -math.inf and math.isnan(x[1]) and x[2] == 0.0
