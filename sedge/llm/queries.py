@@ -84,4 +84,25 @@ def oracle_sql() -> dict[str, str]:
             )
             SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
         """,
+        # all pairs with a common shingle, and all that links reach: for tables of test size
+        "op10_near_dedup": r"""
+            WITH RECURSIVE d AS (
+                SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+            ), s AS (
+                SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+                       ELSE list_distinct(list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))) END AS sh FROM d
+            ), e AS (
+                SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s
+            ), links AS (
+                SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id
+                GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+            ), both_ways AS (
+                SELECT a, b FROM links UNION ALL SELECT b, a FROM links
+            ), reach(a, b) AS (
+                SELECT doc_id, doc_id FROM s UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a
+            ), least AS (
+                SELECT a, min(b) AS b FROM reach GROUP BY a
+            )
+            SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, b AS component_id, doc_id = b AS kept FROM s JOIN least ON doc_id = a
+        """,
     }
