@@ -28,7 +28,7 @@ from .pretokens import ODD, pieces, spaced
 
 HEAVY, HEAVY_CHARS = 1 << 18, 48
 #: Different cuts and pre-tokens, or characters of text, that a task counts before it passes them on.
-FLUSH, FLUSH_CHARS = 200_000, 32_000_000
+FLUSH, FLUSH_CHARS = 120_000, 32_000_000
 
 
 def _segments(text: str, special: list[str]) -> tuple[list[str], int]:
@@ -52,9 +52,8 @@ def _special(tokenizer) -> list[str]:
     return sorted((t.content for t in tokenizer.get_added_tokens_decoder().values()), key=len, reverse=True)
 
 
-def _corpus_pretokens(path: str):
+def _corpus_pretokens(special: list[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        special = _special(_tokenizer(path))
         loose, whole = Counter(), Counter()
 
         def flush():
@@ -103,15 +102,15 @@ def _count_pieces(path: str):
     return run
 
 
-def _document_counts(path: str, heavy):
+def _document_counts(special: list[str], heavy):
     def start():
-        special, known = _special(_tokenizer(path)), heavy.value
+        known = heavy.value
 
         def value(cut: str):
             found = spaced(cut)
             return sum(known.get(p, 0) for p in found), tuple(p for p in found if p not in known)
 
-        cache = Memo(value, 150_000)
+        cache = Memo(value, 60_000)
 
         def row(text: str | None) -> tuple[int, list[str], list[int]]:
             parts, total = _segments(text or "", special)
@@ -158,11 +157,12 @@ def token_counts(docs: DataFrame, tokenizer_path: str | None = None, limit: int
     """
     spark = docs.sparkSession
     path = tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
+    special = _special(_tokenizer(path))  # the scans need no more of the tokenizer
     texts = need(docs, "doc_id", "text")
     corpus = (
         texts.where("text is not null")
         .select("text")
-        .mapInPandas(_corpus_pretokens(path), "pretoken string, freq long")
+        .mapInPandas(_corpus_pretokens(special), "pretoken string, freq long")
         .groupBy("pretoken")
         .agg(F.sum("freq").alias("freq"))
     )
@@ -171,7 +171,7 @@ def token_counts(docs: DataFrame, tokenizer_path: str | None = None, limit: int
     known, often = _heavy_pieces(counted.where(short), heavy)
     shared = spark.sparkContext.broadcast(known)
     rows = texts.select("doc_id", "text", F.monotonically_increasing_id().alias("rid"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
-    passed = materialise(from_texts(rows, _document_counts(path, shared), "known long, pretokens array<string>, freqs array<long>"))
+    passed = materialise(from_texts(rows, _document_counts(special, shared), "known long, pretokens array<string>, freqs array<long>"))
     shared.destroy()
     rest = passed.select("rid", F.inline(F.arrays_zip(F.col("pretokens").alias("pretoken"), F.col("freqs").alias("freq")))).toDF("rid", "pretoken", "freq").join(
         counted.where(~(often & short)).select("pretoken", "n_pieces"), "pretoken"
