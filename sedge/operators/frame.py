@@ -485,18 +485,20 @@ class Frame:
         key, value = plain_name(names_from, self._schema), plain_name(values_from, self._schema)
         ids = [k for k in self._schema if k not in (key, value)]
         frame = self._with_rid()
-        if self._order:
-            frame = frame._placed()
-        spread = frame._df.select(*map(name_of, ids), name_of(key).cast("string").alias(HIDDEN + "k"), name_of(value).alias(HIDDEN + "v"), RID)
+        place = frame._ordinal()
+        if place is None:
+            frame, place = frame._new(frame._df, groups=())._placed(), F.col(POS)
+        at, k, v = HIDDEN + "at", HIDDEN + "k", HIDDEN + "v"
+        spread = frame._df.select(*map(name_of, ids), name_of(key).cast("string").alias(k), name_of(value).alias(v), place.alias(at))
         # the first value of each cell; a pass without the values gives the names, and the result's own pass the rest
-        cells = spread.groupBy(*map(name_of, ids), HIDDEN + "k").agg(F.min_by(HIDDEN + "v", RID).alias(HIDDEN + "v"), F.min(RID).alias(RID), F.count(F.lit(1)).alias(HIDDEN + "n"))
-        names = cells.groupBy(HIDDEN + "k").agg(F.min(RID).alias("at"), F.max(HIDDEN + "n").alias("n")).orderBy("at").limit(most + 1).collect()
+        cells = spread.groupBy(*map(name_of, ids), k).agg(F.min_by(v, at).alias(v), F.min(at).alias(at), F.count(F.lit(1)).alias(HIDDEN + "n"))
+        names = cells.groupBy(k).agg(F.min(at).alias(at), F.max(HIDDEN + "n").alias("n")).orderBy(at).limit(most + 1).collect()
         if len(names) > most:
             raise ExprTypeError(f"pivot_wider would make over {most} columns")
         if any(r["n"] > 1 for r in names):
-            warnings.warn("pivot_wider: some cells have several values; the first of each is kept", stacklevel=2)
+            warnings.warn("pivot_wider: some cells have several values; the first of each is kept", stacklevel=3)
         names = [r[0] for r in names]
-        made = [F.first(F.when(F.col(HIDDEN + "k").eqNullSafe(F.lit(k)), F.col(HIDDEN + "v")), ignorenulls=True).alias("null" if k is None else k) for k in names]
+        made = [F.first(F.when(F.col(k).eqNullSafe(F.lit(name)), F.col(v)), ignorenulls=True).alias("null" if name is None else name) for name in names]
         df = cells.groupBy(*map(name_of, ids)).agg(*made) if ids else cells.agg(*made)
         schema = {k: self._schema[k] for k in ids}
         for k in names:

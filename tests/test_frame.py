@@ -95,6 +95,16 @@ def test_pivot_wider_warns_and_keeps_first(spark):
     assert sorted(map(str, out.collect().to_pylist())) == ["{'id': 7, 'm': 4, 'null': None}", "{'id': 8, 'm': None, 'null': 6}"]
 
 
+def test_pivot_wider_takes_names_and_values_by_the_order_of_rows(spark):
+    f = read({"id": [1, 1, 2, 2, 1], "k": ["c", "a", "b", "a", "a"], "v": [1, 2, 3, 4, 5]})
+    with pytest.warns(UserWarning):
+        assert f.pivot_wider("k", "v").columns == ["id", "c", "a", "b"]
+    for order, columns, a in (("v", ["id", "c", "a", "b"], 2), (desc(col.v), ["id", "a", "b", "c"], 5), (desc(col.k), ["id", "c", "b", "a"], 2)):
+        with pytest.warns(UserWarning):
+            out = f.arrange(order).pivot_wider("k", "v")
+        assert out.columns == columns and out.filter(col.id == 1).pull("a") == [a]
+
+
 def test_separate_and_unite(spark):
     f = read({"id": [4, 5, 6], "code": ["red_sky", "no_sea_air", "sand"]}).separate("code", ["l", "r"])
     assert f.collect().to_pydict() == {"id": [4, 5, 6], "l": ["red", "no", "sand"], "r": ["sky", "sea", None]}
