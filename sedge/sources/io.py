@@ -80,8 +80,12 @@ class Database:
         return self.tables
 
 
+#: Rows of an object in memory for each partition, so that small ones keep their order through files.
+ROWS = 10_000
+
+
 def _arrow(table) -> DataFrame:
-    return session().createDataFrame(table)
+    return session().createDataFrame(table).coalesce(max(1, table.num_rows // ROWS))
 
 
 #: Rows of a database table that one task reads.
